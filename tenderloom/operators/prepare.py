@@ -112,7 +112,9 @@ def correlations(df: DataFrame, by: list[str], variables: list[str] = fixed.NUME
             F.struct(
                 F.lit(a).alias("a"),
                 F.lit(b).alias("b"),
-                F.corr(a, b).alias("r"),
+                F.try_divide(
+                    F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)
+                ).alias("r"),
                 ((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)).alias("varies"),
             ).alias(f"p{i}")
             for i, (a, b) in enumerate(pairs)
@@ -124,7 +126,7 @@ def correlations(df: DataFrame, by: list[str], variables: list[str] = fixed.NUME
         *by,
         "p.a",
         "p.b",
-        F.coalesce(F.nanvl("p.r", F.lit(None)), F.lit(0.0)).alias("r"),
+        F.coalesce("p.r", F.lit(0.0)).alias("r"),
         "p.varies",
     )
 
