@@ -21,16 +21,23 @@ class History:
                     in an award gives two rows, an award without supplier one
                     row with a null supplier_id): supplier_id, supplier_name,
                     region, buyer_id, modality, amount
-    supplier_codes  supplier_id, code
-    supplier_texts  supplier_id, text   (one row per item text and named supplier)
+    items           one row per awarded item and named supplier: supplier_id, code, text
+                    (either may be null)
     buyer_codes     buyer_id, code, award_uid   (awards without supplier included)
     """
 
     lines: DataFrame
-    supplier_codes: DataFrame
-    supplier_texts: DataFrame
+    items: DataFrame
     buyer_codes: DataFrame
 
+    @property
+    def supplier_codes(self) -> DataFrame:
+        return self.items.filter(F.col("code").isNotNull()).select("supplier_id", "code")
+
+    @property
+    def supplier_texts(self) -> DataFrame:
+        return self.items.filter(F.col("text").isNotNull()).select("supplier_id", "text")
+
 
 def history(releases: DataFrame) -> History:
     """Facts out of nested releases; everything is row-local explodes."""
@@ -60,9 +67,10 @@ def history(releases: DataFrame) -> History:
     uid = F.xxhash64("source_year", "ocid", "date", "award_pos", F.to_json("award"))
     return History(
         lines=lines,
-        supplier_codes=known.select("supplier_id", F.explode("codes").alias("code")),
-        supplier_texts=known.select(
-            "supplier_id", F.explode(nested.item_texts(F.col("award.items"))).alias("text")
+        items=known.select("supplier_id", F.explode("award.items").alias("item")).select(
+            "supplier_id",
+            F.nullif(F.col("item.classification.id"), F.lit("")).alias("code"),
+            F.nullif(F.col("item.description"), F.lit("")).alias("text"),
         ),
         buyer_codes=award.filter(F.col("buyer_id").isNotNull()).select(
             "buyer_id", F.explode("codes").alias("code"), uid.alias("award_uid")
@@ -103,17 +111,20 @@ def profiles(h: History) -> DataFrame:
         F.sum("n").alias("awards"),
         F.try_divide(F.sum("amount"), F.sum("n_amount")).alias("mean_amount"),
     )
-    codes = (
-        h.supplier_codes.distinct().groupBy("supplier_id").agg(F.count("*").alias("n_codes"))
-    )
-    corpus = h.supplier_texts.groupBy("supplier_id").agg(
-        (F.sum(F.length("text")) + F.count("*") - 1).alias("corpus_length")
+    # One pass over the items: distinct codes first, sizes rolled up from them.
+    items = (
+        h.items.groupBy("supplier_id", "code")
+        .agg(F.sum(F.length("text")).alias("chars"), F.count("text").alias("texts"))
+        .groupBy("supplier_id")
+        .agg(
+            F.count("code").alias("n_codes"),
+            (F.sum("chars") + F.sum("texts") - 1).alias("corpus_length"),
+        )
     )
     return (
         totals.join(mode(cells, ["supplier_id"], "supplier_name", "name", "n").drop("name_n"), "supplier_id", "left")
         .join(mode(cells, ["supplier_id"], "region", "province", "n").drop("province_n"), "supplier_id", "left")
-        .join(codes, "supplier_id", "left")
-        .join(corpus, "supplier_id", "left")
+        .join(items, "supplier_id", "left")
         .join(modality_histogram(cells), "supplier_id", "left")
         .select(
             "supplier_id",

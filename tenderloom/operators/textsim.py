@@ -71,27 +71,28 @@ def supplier_vocabularies(
     present = [F.col(f"tf{i}").isNotNull().cast("long") for i in range(len(suppliers))]
     used = [F.coalesce(f"tf{i}", zero) for i in range(len(suppliers))]
     n_docs = n_tenders.scalar()
-    parts = []
-    for i in range(len(suppliers)):
-        if shared:
-            df, total, n = reduce(lambda a, b: a + b, present, base_df), reduce(
-                lambda a, b: a + b, used, base_total
-            ), n_docs + len(suppliers)
-        else:
-            df, total, n = base_df + present[i], base_total + used[i], n_docs + 1
+    if shared:
+        df, total = (reduce(lambda a, b: a + b, extra, base) for extra, base in ((present, base_df), (used, base_total)))
         stats = merged.select(
-            "token", df.alias("df"), total.alias("total"), F.col(f"tf{i}").alias("tf")
+            "token", df.alias("df"), total.alias("total"), F.array(*[f"tf{i}" for i in range(len(suppliers))]).alias("tfs")
+        )
+        vocab = vocabulary(stats, size, min_df).select(
+            "token", smooth_idf(n_docs + len(suppliers), F.col("df")).alias("idf"), F.posexplode("tfs").alias("position", "tf")
         )
-        kept = vocabulary(stats, size, min_df)
-        parts.append(
-            kept.select(
-                F.lit(i).alias("position"),
+    else:
+        parts = []
+        for i in range(len(suppliers)):
+            stats = merged.select(
                 "token",
-                smooth_idf(n, F.col("df")).alias("idf"),
-                "tf",
+                (base_df + present[i]).alias("df"),
+                (base_total + used[i]).alias("total"),
+                F.col(f"tf{i}").alias("tf"),
             )
-        )
-    vocab = reduce(DataFrame.unionByName, parts).withColumn(
+            kept = vocabulary(stats, size, min_df)
+            idf = smooth_idf(n_docs + 1, F.col("df"))
+            parts.append(kept.select("token", idf.alias("idf"), F.lit(i).alias("position"), "tf"))
+        vocab = reduce(DataFrame.unionByName, parts)
+    vocab = vocab.withColumn(
         "raw", F.when(F.col("tf").isNotNull(), damped(F.col("tf")) * F.col("idf"))
     )
     norms = vocab.groupBy("position").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))

@@ -7,9 +7,13 @@ whose code is brand, size and part number.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderloom.functions.geo import haversine_km
+from tenderloom.functions.text import normalise_modality
 from tenderloom.operators import matrix, profiles, tenders, textsim
 from tenderloom.operators.profiles import History
 
@@ -29,12 +33,15 @@ class Domain:
         self.spark = spark
         self.folder = folder
 
+    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cache
     def nations(self) -> DataFrame:
         return self.table("nation")
 
+    @cache
     def provinces(self) -> DataFrame:
         """Coordinates by arithmetic on the key; the last nation has none."""
         k = F.col("n_nationkey")
@@ -50,6 +57,7 @@ class Domain:
             F.col("s_nationkey").cast("string"),
         )
 
+    @cache
     def suppliers(self) -> DataFrame:
         # 25 nations at every scale.
         return self.table("supplier").join(
@@ -64,6 +72,7 @@ class Domain:
             p != "4-NOT SPECIFIED", F.concat_ws(" ", p, year)
         )
 
+    @cache
     def processes(self) -> DataFrame:
         buyers = self.table("customer").join(
             F.broadcast(self.nations()), F.col("c_nationkey") == F.col("n_nationkey")
@@ -86,6 +95,7 @@ class Domain:
             F.lpad(F.col("p_partkey").cast("string"), 9, "0"),
         )
 
+    @cache
     def items(self) -> DataFrame:
         """One row per line: ocid, supplier key, code, text, amount."""
         parts = self.table("part").select(
@@ -97,6 +107,7 @@ class Domain:
         )
         return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
+    @cache
     def history(self, statuses: tuple[str, ...] = ("F", "P")) -> History:
         past = self.processes().filter(F.col("status").isin(*statuses)).select("ocid", "buyer_id", "raw_modality")
         suppliers = self.suppliers()
@@ -114,21 +125,20 @@ class Domain:
                 "ocid", "supplier_id", "supplier_name", "region", "buyer_id",
                 F.col("raw_modality").alias("modality"), "amount",
             ),
-            supplier_codes=named.select("supplier_id", "code"),
-            supplier_texts=named.select("supplier_id", "text"),
+            items=named.select("supplier_id", "code", "text"),
             buyer_codes=items.select(
                 "buyer_id", "code", F.concat_ws("/", "ocid", "l_suppkey").alias("award_uid")
             ),
         )
 
+    @cache
     def open_processes(self) -> DataFrame:
         return self.processes().filter((F.col("status") == "O") & (F.col("budget") > 0))
 
+    @cache
     def tenders(self) -> DataFrame:
         rows = self.open_processes()
         kept = tenders.kept_modalities(rows)
-        from tenderloom.functions.text import normalise_modality
-
         return rows.withColumn("_kept", kept.scalar()).withColumn(
             "modality", normalise_modality(F.col("raw_modality"), F.col("_kept"))
         ).drop("_kept", "raw_modality")
@@ -136,10 +146,12 @@ class Domain:
     def eligible(self) -> DataFrame:
         return profiles.eligible(profiles.profiles(self.history()), VALID_PROVINCES, COMPETITIVE)
 
+    @cache
     def portfolio(self, n: int = 3) -> list[dict]:
         chosen = profiles.pick_distinct_provinces(self.eligible(), n, PRIORITY)
         return matrix.portfolio_rows(chosen, self.provinces())
 
+    @cache
     def market(self) -> matrix.Market:
         h = self.history()
         open_rows = self.tenders()
@@ -158,6 +170,10 @@ class Domain:
     def matrix(self, carry: list[str] | None = None) -> DataFrame:
         return matrix.interaction_matrix(self.market(), self.portfolio(), carry)
 
+    def kept_matrix(self) -> DataFrame:
+        """The matrix kept for jobs that read it several times."""
+        return self.matrix().persist()
+
     # ---- a light frame over the open processes for the metric and model jobs ----
     FRAME = ["log_budget", "km", "n_items", "acctbal"]
     FRAME_AXES = [f"u_{v}" for v in FRAME]
@@ -170,8 +186,6 @@ class Domain:
         Distance is to the first province; ``noise`` puts buyers in debt outside all
         groups.
         """
-        from tenderloom.functions.geo import haversine_km
-
         counts = self.table("lineitem").groupBy(F.col("l_orderkey").alias("ocid")).agg(F.count("*").alias("n"))
         rows = self.tenders().join(counts, "ocid", "left").join(
             F.broadcast(self.provinces().withColumnRenamed("province", "buyer_province")), "buyer_province", "left"
@@ -190,7 +204,7 @@ class Domain:
         )
 
     def framed(self, noise: bool = False) -> DataFrame:
-        """The frame with its distance axes (range-scaled, not clipped)."""
+        """The frame with its distance axes (range-scaled, not clipped), kept for reuse."""
         rows = self.frame(noise)
         spans = rows.agg(F.struct(*[(F.max(v) - F.min(v)).alias(v) for v in self.FRAME])).scalar()
         total = len(self.FRAME) + 1 / 3
@@ -201,7 +215,7 @@ class Domain:
                 (F.col(v) / F.when(F.col(f"_span.{v}") == 0, 1.0).otherwise(F.col(f"_span.{v}")) / F.lit(total)).alias(f"u_{v}")
                 for v in self.FRAME
             ],
-        )
+        ).persist()
 
     def frame_options(self) -> dict:
         return {"axes": self.FRAME_AXES, "category": "modality", "mismatch": self.FRAME_PENALTY}

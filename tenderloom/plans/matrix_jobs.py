@@ -153,7 +153,7 @@ def similarity_diagnostics(d: Domain) -> DataFrame:
     """Mean, p90, maximum and variation of each corpus's similarities."""
     from tenderloom.operators.running import percentiles
 
-    sims = _batch_similarity(d).filter(F.col("sim") > 0)
+    sims = _batch_similarity(d).filter(F.col("sim") > 0).persist()
     stats = sims.groupBy("supplier_id").agg(
         F.avg("sim").alias("mean"), F.max("sim").alias("max"), (F.stddev_pop("sim") / F.avg("sim")).alias("cv")
     )
@@ -228,21 +228,21 @@ _PREP = {
 @job("winsor_counts", sql("SELECT supplier_id, variable, count(*) FILTER (value < low OR value > high) AS clipped FROM d_clip GROUP BY 1, 2", **_PREP))
 def winsor_counts(d: Domain) -> DataFrame:
     """Rows outside the exact 1st and 99th percentiles."""
-    m = d.matrix()
+    m = d.kept_matrix()
     return prepare.clip_counts(m, prepare.clip_limits(m, BY), BY)
 
 
 @job("scaling_parameters", sql(rsql(["supplier_id", "variable"], ["low", "high", "mean", "scale", "range"], "d_fit"), **_PREP))
 def scaling_parameters(d: Domain) -> DataFrame:
     """Limits, mean, population deviation and range per supplier and variable."""
-    return rounded(prepare.fit_scaling(d.matrix(), BY), [*BY, "variable"], ["low", "high", "mean", "scale", "range"])
+    return rounded(prepare.fit_scaling(d.kept_matrix(), BY), [*BY, "variable"], ["low", "high", "mean", "scale", "range"])
 
 
 @job("winsor_scale", sql("SELECT supplier_id, ocid, " + ", ".join(f"round(max(CASE WHEN variable = '{v}' THEN (c - mean) / scale END), 5) AS z_{v}" for v in NUM)
                          + " FROM d_clip c JOIN d_fit f USING (supplier_id, variable) GROUP BY 1, 2", **_PREP))
 def winsor_scale(d: Domain) -> DataFrame:
     """Clipped and standardised variables of every row."""
-    m = d.matrix()
+    m = d.kept_matrix()
     scaled = prepare.scale(m, prepare.fit_scaling(m, BY), BY)
     return rounded(scaled, [*BY, "ocid"], [f"z_{v}" for v in NUM], 5)
 
@@ -293,7 +293,7 @@ _ETA = {
 @job("eta_squared", sql(rsql(["supplier_id", "variable"], ["eta2"], "d_eta"), **_ETA))
 def eta_squared(d: Domain) -> DataFrame:
     """Share of each variable's variance explained by the modality."""
-    return rounded(prepare.eta_squared(d.matrix(), BY, "modality"), [*BY, "variable"], ["eta2"])
+    return rounded(prepare.eta_squared(d.kept_matrix(), BY, "modality"), [*BY, "variable"], ["eta2"])
 
 
 @job("variable_diagnostics", sql("""SELECT supplier_id, variable, round(dominant, 6) AS dominant_share, CASE WHEN span = 0 THEN 'constant'
@@ -302,7 +302,7 @@ def eta_squared(d: Domain) -> DataFrame:
      min(value) AS lo, max(value) AS hi FROM d_long GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN d_eta USING (supplier_id, variable)""", **_ETA))
 def variable_diagnostics(d: Domain) -> DataFrame:
     """Constant, nearly constant and recoded variables."""
-    return prepare.variable_diagnostics(d.matrix(), BY, "modality").select(
+    return prepare.variable_diagnostics(d.kept_matrix(), BY, "modality").select(
         *BY, "variable", F.round("dominant_share", 6).alias("dominant_share"), "finding"
     )
 

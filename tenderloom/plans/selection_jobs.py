@@ -286,4 +286,6 @@ def centroid_separation(d: Domain) -> DataFrame:
 def partition_report(d: Domain) -> DataFrame:
     """Every metric of one partition side by side (each is checked on its own)."""
     rows = prepare.quartile_bins(d.framed(True), [], "log_budget")
-    return metrics.evaluate(rows, [], "ocid", "cluster", LABELS, d.FRAME_AXES, "modality", "quartile")
+    return metrics.evaluate(
+        rows, [], "ocid", "cluster", LABELS, d.FRAME_AXES, "modality", "quartile", axes=d.FRAME_AXES, mismatch=d.FRAME_PENALTY
+    )

@@ -74,7 +74,8 @@ def ssql(body: str, **extra: str) -> str:
 
 
 def scored(d: Domain, carry: list[str] | None = None) -> DataFrame:
-    return serving.score(d.matrix(carry), MODEL)
+    """Scored rows, kept because ranking reads them after the groups are known."""
+    return serving.score(d.matrix(carry), MODEL).persist()
 
 
 @job("analyze_supplier", ssql("SELECT supplier_id, cluster, opportunities, mean_compatibility, verdict FROM d_verdict"))
@@ -86,13 +87,14 @@ def analyze_supplier(d: Domain) -> DataFrame:
 @job("actionable_group_by_mean", ssql("SELECT supplier_id, arg_min(cluster, row(-mean_compatibility, cluster)) AS cluster FROM d_group GROUP BY 1"))
 def actionable_group_by_mean(d: Domain) -> DataFrame:
     """The other definition of the group to act on: highest mean compatibility."""
-    return serving.actionable_groups(serving.group_profiles(scored(d)), by_mean=True)
+    profile = serving.group_profiles(serving.score(d.matrix(), MODEL))
+    return serving.actionable_groups(profile, by_mean=True)
 
 
 @job("scored_tenders", ssql("SELECT supplier_id, ocid, cluster, affinity, compatibility, reason FROM d_scored"))
 def scored_tenders(d: Domain) -> DataFrame:
     """Group, typicality, compatibility and reason of every supplier-tender row."""
-    return scored(d).select("supplier_id", "ocid", "cluster", "affinity", "compatibility", "reason")
+    return serving.with_affinity(scored(d)).select("supplier_id", "ocid", "cluster", "affinity", "compatibility", "reason")
 
 
 @job("group_index", ssql("""SELECT supplier_id, cluster, size, round(100.0 * size / sum(size) OVER (PARTITION BY supplier_id), 1) AS pct, mean_affinity, mean_compatibility,
@@ -100,7 +102,7 @@ def scored_tenders(d: Domain) -> DataFrame:
      ELSE 'Mercado general' END AS role FROM d_index"""))
 def group_index(d: Domain) -> DataFrame:
     """Group profiles with their index, rank and role."""
-    g = serving.group_profiles(scored(d))
+    g = serving.group_profiles(serving.with_affinity(scored(d)))
     return g.select("supplier_id", "cluster", "size", "pct", "mean_affinity", "mean_compatibility", "max_compatibility",
                     "opportunities", "group_index", F.col("group_rank").cast("long").alias("group_rank"), "role")
 
@@ -109,7 +111,8 @@ def group_index(d: Domain) -> DataFrame:
      ELSE 'mínima' END AS level, reason, count(*) AS n FROM d_scored GROUP BY 1, 2, 3"""))
 def tender_levels(d: Domain) -> DataFrame:
     """Tenders per compatibility level and reason."""
-    return scored(d).groupBy("supplier_id", scoring.tender_level(F.col("compatibility")).alias("level"), "reason").agg(F.count("*").alias("n"))
+    rows = serving.score(d.matrix(), MODEL)
+    return rows.groupBy("supplier_id", scoring.tender_level(F.col("compatibility")).alias("level"), "reason").agg(F.count("*").alias("n"))
 
 
 @job("kpis", ssql("""SELECT supplier_id, coalesce(o, 0) AS opportunities, round(coalesce(b, 0), 2) AS budget, best_match, tenders, (SELECT max(date) FROM d_tender) AS cutoff
