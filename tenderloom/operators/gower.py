@@ -11,17 +11,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderloom import fixed
-from tenderloom.operators.running import running_sums
+from tenderloom.operators.running import running_sums, value_ranges
 
 AXES = [f"u_{v}" for v in fixed.NUMERIC]
 PENALTY = fixed.CATEGORY_WEIGHT / (len(fixed.NUMERIC) + fixed.CATEGORY_WEIGHT)
-# A value held by at least this share of a key's rows is joined by broadcast; there
-# are at most 64 such values per variable and key.
-HOT_SHARE = 1.0 / 64
 GROUPS_PER_PASS = 48
 
 
@@ -41,16 +40,6 @@ def _spread_sums(value, run_n, run_s, all_n, all_s) -> Column:
     return value * run_n - run_s + (all_s - run_s) - value * (all_n - run_n)
 
 
-def _join_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach per-value results to rows; values shared by many rows go by broadcast."""
-    on = [*keys, "value"]
-    hot = values.filter(F.col("hot")).drop("hot")
-    cold = values.filter(~F.col("hot")).drop("hot")
-    direct = rows.join(F.broadcast(hot), on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
-    return direct.unionByName(rest)
-
-
 def group_sums(
     df: DataFrame,
     by: list[str],
@@ -73,16 +62,14 @@ def group_sums(
         [*by, row_id, label], axes, "variable", "value"
     )
     points = long.groupBy(*keys, "value").agg(
-        F.count("*").alias("n"),
         *[F.count_if(m).alias(f"n{i}") for i, m in enumerate(member)],
     )
     points = points.select("*", *[(F.col(f"n{i}") * F.col("value")).alias(f"s{i}") for i in range(k)])
-    measures = ["n", *[f"n{i}" for i in range(k)], *[f"s{i}" for i in range(k)]]
+    measures = [*[f"n{i}" for i in range(k)], *[f"s{i}" for i in range(k)]]
     run = running_sums(points, keys, "value", measures)
     values = run.select(
         *keys,
         "value",
-        (F.col("n") >= HOT_SHARE * F.col("all_n")).alias("hot"),
         *[
             _spread_sums(
                 F.col("value"), F.col(f"run_n{i}"), F.col(f"run_s{i}"), F.col(f"all_n{i}"), F.col(f"all_s{i}")
@@ -90,7 +77,9 @@ def group_sums(
             for i in range(k)
         ],
     )
-    numeric = _join_values(long, values, keys).select(
+    # Each value is one row on the right, so a value shared by a third of the rows is
+    # broadcast when the table is small and otherwise split by the adaptive skew join.
+    numeric = long.join(values, [*keys, "value"]).select(
         *by, row_id, label, *[f"d{i}" for i in range(k)]
     )
     # The category term: group size minus the group's rows of the same category.
@@ -116,6 +105,84 @@ def group_sums(
     )
 
 
+def between_groups(
+    df: DataFrame,
+    label: str,
+    k: int,
+    axes: list[str] = AXES,
+    category: str = fixed.CATEGORY,
+    mismatch: float = PENALTY,
+) -> DataFrame:
+    """(a, b, total): summed distance between every two groups 0..k-1.
+
+    Needs no row-level result, so rows collapse to (variable, value, group) counts; each
+    value range is one small matrix product, with the counts below it handed in.
+    """
+    long = df.select(label, *axes).unpivot([label], axes, "variable", "value")
+    points = long.groupBy("variable", "value", label).agg(F.count("*").alias("n"))
+    ranged = value_ranges(points.withColumnRenamed(label, "g"), "value")
+    sums = ranged.groupBy("variable", "_range", "g").agg(
+        F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("value")).alias("s")
+    )
+    # variables x ranges x groups rows: the running part is a window over this summary.
+    ranges = sums.select("variable", "_range").distinct()
+    grid = ranges.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+    filled = grid.join(sums, ["variable", "_range", "g"], "left").fillna(0.0, ["n", "s"])
+    below = Window.partitionBy("variable", "g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("variable", "g")
+    offsets = filled.select(
+        F.col("variable").alias("o_variable"), F.col("_range").alias("o_range"), "g",
+        *[F.coalesce(F.sum(c).over(below), F.lit(0.0)).alias(f"below_{c}") for c in ("n", "s")],
+        *[F.sum(c).over(whole).alias(f"all_{c}") for c in ("n", "s")],
+    )
+
+    def block(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        before = before.sort_values("g")
+        run_n, run_s, all_n, all_s = (
+            before[c].to_numpy() for c in ("below_n", "below_s", "all_n", "all_s")
+        )
+        out = np.zeros((k, k))
+        rows = rows.sort_values("value")
+        values, at = np.unique(rows["value"].to_numpy(), return_inverse=True)
+        groups, counts = rows["g"].to_numpy(), rows["n"].to_numpy()
+        for start in range(0, len(values), 20_000):
+            v = values[start : start + 20_000]
+            mine = (at >= start) & (at < start + len(v))
+            m = np.zeros((len(v), k))
+            m[at[mine] - start, groups[mine]] = counts[mine]
+            n = run_n + np.cumsum(m, axis=0)
+            s = run_s + np.cumsum(m * v[:, None], axis=0)
+            out += m.T @ (v[:, None] * (2 * n - all_n) - 2 * s + all_s)
+            run_n, run_s = n[-1], s[-1]
+        a, b = np.indices((k, k))
+        return pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "total": out.ravel()})
+
+    numeric = (
+        ranged.groupBy("variable", "_range")
+        .cogroup(offsets.groupBy("o_variable", "o_range"))
+        .applyInPandas(block, "a long, b long, total double")
+    )
+    # One row per group and category.
+    cells = df.groupBy(label, category).agg(F.count("*").alias("n"))
+    same = cells.select(F.col(label).alias("a"), category, F.col("n").alias("na")).join(
+        cells.select(F.col(label).alias("b"), category, F.col("n").alias("nb")), category
+    ).groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("same"))
+    sizes = cells.groupBy(label).agg(F.sum("n").alias("n"))
+    totals = numeric.groupBy("a", "b").agg(F.sum("total").alias("total"))
+    return (
+        totals.join(sizes.select(F.col(label).alias("a"), F.col("n").alias("size_a")), "a")
+        .join(sizes.select(F.col(label).alias("b"), F.col("n").alias("size_b")), "b")
+        .join(same, ["a", "b"], "left")
+        .select(
+            "a", "b", "size_a", "size_b",
+            (
+                F.col("total")
+                + F.lit(mismatch) * (F.col("size_a") * F.col("size_b") - F.coalesce("same", F.lit(0)))
+            ).alias("total"),
+        )
+    )
+
+
 def own_sums(
     df: DataFrame,
     by: list[str],
@@ -135,10 +202,10 @@ def own_sums(
     values = run.select(
         *keys,
         "value",
-        (F.col("n") >= HOT_SHARE * F.col("all_n")).alias("hot"),
         _spread_sums(F.col("value"), F.col("run_n"), F.col("run_s"), F.col("all_n"), F.col("all_s")).alias("own"),
     )
-    numeric = _join_values(long, values, keys).select(*group, row_id, "own")
+    # One row per value on the right: broadcast when small, else the adaptive skew join.
+    numeric = long.join(values, [*keys, "value"]).select(*group, row_id, "own")
     cells = df.groupBy(*group, category).agg(F.count("*").alias("c"))
     sizes = cells.groupBy(*group).agg(F.sum("c").alias("a")) if group else None
     if group:

@@ -19,6 +19,15 @@ def default_ranges(df: DataFrame) -> int:
     return max(4, min(256, parallelism(df.sparkSession)))
 
 
+def value_ranges(points: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
+    """Add ``_range``: about equally many distinct values each."""
+    n = ranges or default_ranges(points)
+    quantiles = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = points.agg(F.percentile_approx(value, quantiles, 10_000)).scalar()
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    return points.withColumn("_cuts", cuts).withColumn("_range", F.coalesce(below, F.lit(0))).drop("_cuts")
+
+
 def running_sums(
     points: DataFrame,
     keys: list[str],
@@ -30,13 +39,7 @@ def running_sums(
 
     ``points`` holds one row per (keys, value).
     """
-    n = ranges or default_ranges(points)
-    quantiles = F.array(*[F.lit(i / n) for i in range(1, n)])
-    cuts = points.agg(F.percentile_approx(value, quantiles, 10_000)).scalar()
-    cut = points.withColumn("_cuts", cuts).withColumn(
-        "_range",
-        F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0)),
-    ).drop("_cuts")
+    cut = value_ranges(points, value, ranges)
     upto = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

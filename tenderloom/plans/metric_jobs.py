@@ -61,14 +61,11 @@ def dispersion_within(d: Domain) -> DataFrame:
 def group_mean_distances(d: Domain) -> DataFrame:
     """Mean distance between every two groups in one aggregation."""
     rows = d.framed(True).filter(F.col("cluster") != -1)
-    sums = gower.group_sums(rows, [], "ocid", "cluster", LABELS, **d.frame_options())
-    table = sums.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in LABELS])
-    long = table.unpivot(["cluster", "n"], [f"s{i}" for i in LABELS], "name", "s").withColumn("other", F.substring("name", 2, 5).cast("long"))
-    sizes = F.broadcast(table.select(F.col("cluster").alias("other"), F.col("n").alias("m")))  # one row per group
-    return long.join(sizes, "other").select("cluster", "other", F.round(F.col("s") / (F.col("n") * F.col("m")), 6).alias("mean_distance"))
+    table = gower.between_groups(rows, "cluster", len(LABELS), d.FRAME_AXES, "modality", d.FRAME_PENALTY)
+    mean = F.col("total") / (F.col("size_a") * F.col("size_b"))
+    return table.select(F.col("a").alias("cluster"), F.col("b").alias("other"), F.round(mean, 6).alias("mean_distance"))
 
 
-_ENC = ["log_budget", "km", "n_items", "acctbal"]
 _CENT = {
     "d_real": "SELECT * FROM d_axes WHERE cluster <> -1",
     "d_cen": "SELECT cluster, count(*) AS n, avg(u1) AS m1, avg(u2) AS m2, avg(u3) AS m3, avg(u4) AS m4 FROM d_real GROUP BY 1",

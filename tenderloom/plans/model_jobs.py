@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tenderloom import fixed
 from tenderloom.operators import clustering, gower, metrics, neighbours, outliers, prepare, sampling, selection, serving
+from tenderloom.operators.running import percentiles
 from tenderloom.operators.serving import FrozenModel
 from tenderloom.plans.domain import Domain
 from tenderloom.plans.registry import job
@@ -18,6 +19,7 @@ FRAME = Domain.FRAME
 AXES = Domain.FRAME_AXES
 PENALTY = Domain.FRAME_PENALTY
 Z = [f"z_{v}" for v in FRAME]
+METRICS = ["groups", "silhouette", "davies_bouldin", "calinski_harabasz", "ari_category", "ari_quartile", "entropy", "coverage"]
 MIXED = {"axes": AXES, "category": "modality", "mismatch": PENALTY}
 
 
@@ -97,7 +99,10 @@ def density_choice(d: Domain) -> DataFrame:
 
 @job("model_comparison")
 def model_comparison(d: Domain) -> DataFrame:
-    """Families swept over k, every partition judged under the same rules."""
+    """Families swept over k, every partition judged under the same rules.
+
+    Each candidate is measured by its own jobs and leaves one report row.
+    """
     rows, encoded = prepared(d)
     rows = prepare.quartile_bins(rows, [], "log_budget").persist()
     options = {
@@ -106,39 +111,33 @@ def model_comparison(d: Domain) -> DataFrame:
         "kmedoids": {**MIXED, "max_iter": 4},
         "hierarchical": MIXED,
     }
-    fits, failures = clustering.sweep(rows, "ocid", encoded, list(options), [3, 4], options)
-    base = {}
-    for k in (2, 3, 4):
-        lab = sampling.random_labels(rows, "ocid", k)
-        base[k] = gower.silhouette(lab, [], "ocid", "cluster", list(range(k)), **MIXED)
-    baselines = reduce(
-        DataFrame.unionByName, [s.select(F.lit(k).alias("k"), "silhouette") for k, s in base.items()]
-    )
+    fits, failures = clustering.sweep(rows, "ocid", encoded, list(options), [3], options)
+    random = gower.silhouette(sampling.random_labels(rows, "ocid", 3), [], "ocid", "cluster", [0, 1, 2], **MIXED).first()
     names = sorted(r[0] for r in rows.select("modality").distinct().collect())
     trivial = rows.withColumn("cluster", F.array_position(F.array(*map(F.lit, names)), F.col("modality")) - 1)
-    category = gower.silhouette(trivial, [], "ocid", "cluster", list(range(len(names))), **MIXED).select("silhouette")
-    parts = []
+    category = gower.silhouette(trivial, [], "ocid", "cluster", list(range(len(names))), **MIXED).first()
+    report = []
     for (algorithm, k), fit in fits.items():
-        labelled = fit.apply(rows)
-        m = metrics.evaluate(labelled, [], "ocid", "cluster", list(range(k)), encoded, "modality", "quartile", axes=AXES, mismatch=PENALTY)
-        parts.append(m.withColumn("algorithm", F.lit(algorithm)).withColumn("k", F.lit(k)))
-    table = reduce(DataFrame.unionByName, parts).withColumn("category_baseline", category.scalar())
-    judged = selection.disqualify(selection.nearest_baseline(table, baselines, []))
-    out = judged.select("algorithm", "k", "groups", F.round("silhouette", 6).alias("silhouette"), "disqualified", "reasons")
-    if failures:
-        failed = d.spark.createDataFrame(
-            [(a, k, None, None, True, why) for a, k, why in failures],
-            "algorithm string, k int, groups long, silhouette double, disqualified boolean, reasons string",
-        )
-        out = out.unionByName(failed)
-    return out
+        labelled = fit.apply(rows).persist()
+        m = metrics.evaluate(
+            labelled, [], "ocid", "cluster", list(range(k)), encoded, "modality", "quartile", axes=AXES, mismatch=PENALTY
+        ).first()
+        labelled.unpersist()
+        report.append((algorithm, k, *[m[c] for c in METRICS], random["silhouette"], category["silhouette"]))
+    report += [(a, k, *[None] * (len(METRICS) + 2)) for a, k, _ in failures]
+    columns = ["algorithm string", "k int", "groups long", *[f"{c} double" for c in METRICS[1:]],
+               "random_baseline double", "category_baseline double"]
+    judged = selection.disqualify(d.spark.createDataFrame(report, ", ".join(columns)))
+    return judged.select(
+        "algorithm", "k", "groups", *[F.round(c, 6).alias(c) for c in METRICS[1:]], "disqualified", "reasons"
+    )
 
 
 @job("stability")
 def stability(d: Domain) -> DataFrame:
     """Agreement between a partition and refits on 80 % subsamples."""
     rows, encoded = prepared(d)
-    reference = clustering.kmeans(rows, 4, encoded, restarts=2).apply(rows).withColumnRenamed("cluster", "reference")
+    reference = clustering.kmeans(rows, 4, encoded, restarts=2).apply(rows)
 
     def refit(part: DataFrame) -> DataFrame:
         return clustering.kmeans(part, 4, encoded, restarts=2).apply(part)
@@ -219,8 +218,6 @@ def fit_portfolio_model(d: Domain, k: int = 3, trees: int = 100) -> tuple[Frozen
     features = [f"z_{v}" for v in fixed.NUMERIC] + [f"_hot{i}" for i in range(len(known))]
     grown = outliers.grow_forests(encoded, "ocid", features, trees=trees).collect()
     scored = outliers.score(encoded, "ocid", features, grown)
-    from tenderloom.operators.running import percentiles
-
     cut = percentiles(scored, [], "score", {"cut": 1.0 - fixed.CONTAMINATION}).first()["cut"]
     params = {r["variable"]: (r["low"], r["high"], r["mean"], r["scale"], r["range"]) for r in scaling.collect()}
     return FrozenModel(params, medoids, known, [t.asDict() for t in grown], cut), m
