@@ -120,7 +120,9 @@ def supplier_regions(parties: Column) -> Column:
                 parties,
                 lambda p: F.array_contains(p["roles"], "supplier") & (p["id"] != ""),
             ),
-            lambda p: F.struct(p["id"].alias("id"), province_name(p["address"]["region"]).alias("r")),
+            lambda p: F.named_struct(
+                F.lit("id"), p["id"], F.lit("r"), province_name(p["address"]["region"])
+            ),
         ),
         lambda e: e["r"].isNotNull(),
     )

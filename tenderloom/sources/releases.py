@@ -48,27 +48,29 @@ def read_releases(
     paths: str | list[str],
     mode: str = "FAILFAST",
     partitions: int | None = None,
-    raw: bool = False,
 ) -> DataFrame:
     """Releases of one or more ``{year}.jsonl.gz`` files with their source year.
 
     ``FAILFAST`` stops at a bad line, ``DROPMALFORMED`` skips it and
-    ``PERMISSIVE`` keeps it in ``_corrupt_record``. Missing paths raise. A gzip
-    file is one task, so ``partitions`` spreads the rows right after parsing.
+    ``PERMISSIVE`` keeps it in ``_corrupt_record``. Missing paths raise, blank lines do
+    not count. A gzip file is one task, so ``partitions`` spreads the rows right after
+    parsing.
     """
-    # Dropping needs the corrupt column too: a pruned scan would not see the bad field.
-    schema = PACKAGE if mode == "FAILFAST" else PACKAGE + ", _corrupt_record string"
-    reader = spark.read.schema(schema).option("mode", "FAILFAST" if mode == "FAILFAST" else "PERMISSIVE")
-    lines = reader.json(paths).withColumn(
-        "source_year", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1)
-    )
+    year = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1).alias("source_year")
     keep = ["source_year"]
-    if mode == "DROPMALFORMED":
-        lines = lines.filter(F.col("_corrupt_record").isNull())
-    elif mode == "PERMISSIVE":
-        keep.append("_corrupt_record")
-    if raw:
-        return lines
+    if mode == "FAILFAST":
+        lines = spark.read.schema(PACKAGE).option("mode", mode).json(paths).select("*", year)
+    else:
+        # Whether a line is bad must not depend on the columns a query happens to use,
+        # so the whole line is parsed as an expression.
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+        parsed = F.from_json("value", PACKAGE + ", _corrupt_record string", options)
+        text = spark.read.text(paths).filter(F.trim("value") != "")
+        lines = text.select(year, parsed.alias("p")).select("source_year", "p.*")
+        if mode == "DROPMALFORMED":
+            lines = lines.filter(F.col("_corrupt_record").isNull())
+        else:
+            keep.append("_corrupt_record")
     releases = unwrap(lines, keep)
     return releases.repartition(partitions) if partitions else releases
 
