@@ -16,6 +16,7 @@ from tenderloom.functions.geo import haversine_km
 from tenderloom.functions.text import normalise_modality
 from tenderloom.operators import matrix, profiles, tenders, textsim
 from tenderloom.operators.profiles import History
+from tenderloom.session import cut_lineage
 
 YEARS = range(1995, 2002)
 COMPETITIVE = [f"{p} {y}" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM") for y in YEARS]
@@ -171,8 +172,8 @@ class Domain:
         return matrix.interaction_matrix(self.market(), self.portfolio(), carry)
 
     def kept_matrix(self) -> DataFrame:
-        """The matrix kept for jobs that read it several times."""
-        return self.matrix().persist()
+        """The matrix written once for jobs that read it several times."""
+        return cut_lineage(self.matrix())
 
     # ---- a light frame over the open processes for the metric and model jobs ----
     FRAME = ["log_budget", "km", "n_items", "acctbal"]
@@ -204,18 +205,19 @@ class Domain:
         )
 
     def framed(self, noise: bool = False) -> DataFrame:
-        """The frame with its distance axes (range-scaled, not clipped), kept for reuse."""
-        rows = self.frame(noise)
+        """The frame with its distance axes (range-scaled, not clipped), written once."""
+        rows = cut_lineage(self.frame(noise))
         spans = rows.agg(F.struct(*[(F.max(v) - F.min(v)).alias(v) for v in self.FRAME])).scalar()
         total = len(self.FRAME) + 1 / 3
         scaled = rows.withColumn("_span", spans)
-        return scaled.select(
+        framed = scaled.select(
             *rows.columns,
             *[
                 (F.col(v) / F.when(F.col(f"_span.{v}") == 0, 1.0).otherwise(F.col(f"_span.{v}")) / F.lit(total)).alias(f"u_{v}")
                 for v in self.FRAME
             ],
-        ).persist()
+        )
+        return framed
 
     def frame_options(self) -> dict:
         return {"axes": self.FRAME_AXES, "category": "modality", "mismatch": self.FRAME_PENALTY}

@@ -11,6 +11,7 @@ from tenderloom.operators import matrix, prepare, textsim
 from tenderloom.plans.domain import Domain
 from tenderloom.plans.registry import job
 from tenderloom.plans.sql import TOKENS, km, sql
+from tenderloom.session import cut_lineage
 
 NUM = fixed.NUMERIC
 BY = ["supplier_id"]
@@ -153,7 +154,7 @@ def similarity_diagnostics(d: Domain) -> DataFrame:
     """Mean, p90, maximum and variation of each corpus's similarities."""
     from tenderloom.operators.running import percentiles
 
-    sims = _batch_similarity(d).filter(F.col("sim") > 0).persist()
+    sims = cut_lineage(_batch_similarity(d).filter(F.col("sim") > 0))
     stats = sims.groupBy("supplier_id").agg(
         F.avg("sim").alias("mean"), F.max("sim").alias("max"), (F.stddev_pop("sim") / F.avg("sim")).alias("cv")
     )

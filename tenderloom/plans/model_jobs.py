@@ -14,6 +14,7 @@ from tenderloom.operators.running import percentiles
 from tenderloom.operators.serving import FrozenModel
 from tenderloom.plans.domain import Domain
 from tenderloom.plans.registry import job
+from tenderloom.session import cut_lineage
 
 FRAME = Domain.FRAME
 AXES = Domain.FRAME_AXES
@@ -24,12 +25,12 @@ MIXED = {"axes": AXES, "category": "modality", "mismatch": PENALTY}
 
 
 def prepared(d: Domain) -> tuple[DataFrame, list[str]]:
-    """Clipped, scaled and encoded open tenders, kept while the models iterate."""
-    rows = d.frame().drop("cluster")
+    """Clipped, scaled and encoded open tenders, written once for the models to iterate on."""
+    rows = cut_lineage(d.frame().drop("cluster"))
     scaled = prepare.scale(rows, prepare.fit_scaling(rows, [], FRAME), [], FRAME)
     # Normalised modality names: ten at most.
-    known = sorted(r[0] for r in scaled.select("modality").distinct().collect())
-    encoded = prepare.one_hot(scaled, "modality", known).persist()
+    known = sorted(r[0] for r in rows.select("modality").distinct().collect())
+    encoded = cut_lineage(prepare.one_hot(scaled, "modality", known))
     return encoded, Z + [f"is_{i}" for i in range(len(known))]
 
 
@@ -104,7 +105,7 @@ def model_comparison(d: Domain) -> DataFrame:
     Each candidate is measured by its own jobs and leaves one report row.
     """
     rows, encoded = prepared(d)
-    rows = prepare.quartile_bins(rows, [], "log_budget").persist()
+    rows = cut_lineage(prepare.quartile_bins(rows, [], "log_budget"))
     options = {
         "kmeans": {"restarts": 1},
         "kprototypes": {"columns": Z, "category": "modality", "restarts": 1, "max_iter": 10},
@@ -118,11 +119,10 @@ def model_comparison(d: Domain) -> DataFrame:
     category = gower.silhouette(trivial, [], "ocid", "cluster", list(range(len(names))), **MIXED).first()
     report = []
     for (algorithm, k), fit in fits.items():
-        labelled = fit.apply(rows).persist()
+        labelled = cut_lineage(fit.apply(rows))
         m = metrics.evaluate(
             labelled, [], "ocid", "cluster", list(range(k)), encoded, "modality", "quartile", axes=AXES, mismatch=PENALTY
         ).first()
-        labelled.unpersist()
         report.append((algorithm, k, *[m[c] for c in METRICS], random["silhouette"], category["silhouette"]))
     report += [(a, k, *[None] * (len(METRICS) + 2)) for a, k, _ in failures]
     columns = ["algorithm string", "k int", "groups long", *[f"{c} double" for c in METRICS[1:]],
@@ -149,7 +149,7 @@ def stability(d: Domain) -> DataFrame:
 def assign_new_rows(d: Domain) -> DataFrame:
     """A model fitted on older tenders labels the newer ones; by centroid, by medoid."""
     rows, encoded = prepared(d)
-    dated = rows.join(d.tenders().select("ocid", "source_year"), "ocid").persist()
+    dated = cut_lineage(rows.join(d.tenders().select("ocid", "source_year"), "ocid"))
     old, new = dated.filter(F.col("source_year") < "2000"), dated.filter(F.col("source_year") >= "2000")
     centroid = clustering.kmeans(old, 4, encoded, restarts=2)
     medoid = clustering.kmedoids(old, "ocid", 4, max_iter=4, **MIXED)
@@ -161,10 +161,10 @@ def assign_new_rows(d: Domain) -> DataFrame:
 @job("frozen_on_other_key")
 def frozen_on_other_key(d: Domain) -> DataFrame:
     """Algorithm and k chosen on one supplier, rerun and profiled on another."""
-    m = d.matrix().persist()
+    m = d.kept_matrix()
     ids = [p["supplier_id"] for p in d.portfolio()]
     other = m.filter(F.col("supplier_id") == ids[-1])
-    rows = prepare.scale(other, prepare.fit_scaling(other, []), []).persist()
+    rows = cut_lineage(prepare.scale(other, prepare.fit_scaling(other, []), []))
     fit = clustering.kmedoids(rows, "ocid", 3, max_iter=4)
     centres = [(int(c["cluster"]), int(c["ocid"])) for c in fit.centres]
     medoids = d.spark.createDataFrame(centres, "cluster long, ocid_medoid long")
@@ -185,7 +185,7 @@ def isolation_global(d: Domain) -> DataFrame:
 def isolation_by_group(d: Domain) -> DataFrame:
     """A forest per group next to the global one."""
     rows, encoded = prepared(d)
-    grouped = rows.join(d.frame().select("ocid", "cluster"), "ocid").persist()
+    grouped = cut_lineage(rows.join(d.frame().select("ocid", "cluster"), "ocid"))
     whole = outliers.grow_forests(grouped, "ocid", encoded).collect()
     own = outliers.grow_forests(grouped, "ocid", encoded, "cluster").collect()
     first = outliers.flag(outliers.score(grouped, "ocid", encoded, whole), [], name="by_all").drop("score")
@@ -196,19 +196,19 @@ def isolation_by_group(d: Domain) -> DataFrame:
 @job("outlier_driver")
 def outlier_driver(d: Domain) -> DataFrame:
     """The variable that sets each group's flagged tenders apart, on raw variables."""
-    rows = d.frame().persist()
+    rows = cut_lineage(d.frame())
     own = outliers.grow_forests(rows, "ocid", FRAME, "cluster", trees=200).collect()
-    flagged = outliers.flag(outliers.score(rows, "ocid", FRAME, own, "cluster"), ["cluster"]).persist()
+    flagged = outliers.flag(outliers.score(rows, "ocid", FRAME, own, "cluster"), ["cluster"])
     return outliers.outlier_driver(flagged, "cluster", "outlier", FRAME)
 
 
 def fit_portfolio_model(d: Domain, k: int = 3, trees: int = 100) -> tuple[FrozenModel, DataFrame]:
     """Train the frozen model on the strongest portfolio supplier; returns it with the matrix."""
-    m = d.matrix().persist()
+    m = d.kept_matrix()
     best = d.portfolio()[0]["supplier_id"]
     train = m.filter(F.col("supplier_id") == best)
     scaling = prepare.fit_scaling(train, [])
-    rows = prepare.scale(train, scaling, []).persist()
+    rows = cut_lineage(prepare.scale(train, scaling, []))
     fit = clustering.kmedoids(rows, "ocid", k, max_iter=6)
     ids = [c["ocid"] for c in fit.centres]
     found = {r["ocid"]: r.asDict() for r in rows.filter(F.col("ocid").isin(ids)).collect()}
@@ -227,6 +227,6 @@ def fit_portfolio_model(d: Domain, k: int = 3, trees: int = 100) -> tuple[Frozen
 def trained_answers(d: Domain) -> DataFrame:
     """Train, freeze and serve: verdicts with outlier counts for every portfolio supplier."""
     model, m = fit_portfolio_model(d)
-    scored = serving.mark_outliers(serving.score(m, model), model).persist()
+    scored = cut_lineage(serving.mark_outliers(serving.score(m, model), model))
     flags = scored.groupBy("supplier_id").agg(F.count_if("outlier").alias("outliers"), F.count("*").alias("tenders"))
     return serving.verdicts(serving.group_profiles(scored, model.medoids)).join(flags, "supplier_id")

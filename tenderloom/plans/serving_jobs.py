@@ -12,6 +12,7 @@ from tenderloom.operators.serving import FrozenModel
 from tenderloom.plans.domain import VALID_PROVINCES, Domain
 from tenderloom.plans.registry import job
 from tenderloom.plans.sql import sql
+from tenderloom.session import cut_lineage
 
 NUM = fixed.NUMERIC
 # The frozen parameters of these queries: limits, mean, scale and range per variable,
@@ -74,8 +75,8 @@ def ssql(body: str, **extra: str) -> str:
 
 
 def scored(d: Domain, carry: list[str] | None = None) -> DataFrame:
-    """Scored rows, kept because ranking reads them after the groups are known."""
-    return serving.score(d.matrix(carry), MODEL).persist()
+    """Scored rows, written once: ranking reads them again when the groups are known."""
+    return cut_lineage(serving.score(d.matrix(carry), MODEL))
 
 
 @job("analyze_supplier", ssql("SELECT supplier_id, cluster, opportunities, mean_compatibility, verdict FROM d_verdict"))

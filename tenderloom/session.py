@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,22 +25,31 @@ def local_session(cores: str = "*", app: str = "tenderloom", partitions: int = 8
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it.
+
+    Only where none is set and the master is local (tests) is one chosen here.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="tenderloom-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+    """The rows as a written table in the shared folder.
 
-    Only where ``spark.checkpoint.dir`` is unset and the master is local (tests)
-    does this choose a folder itself.
+    Computed once, survives lost executors, prunes columns when read, and leaves later
+    plans with a single scan instead of everything that led here.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tenderloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/tenderloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
