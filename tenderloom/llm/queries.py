@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe
+from tenderloom.llm import bpe, packing
 from tenderloom.llm.common import table, text_or_empty
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,21 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+#: Window, rounding unit and end id of the packing query.
+WINDOW, UNIT, END_ID = 2048, 8, 1
+
+
+def token_pieces(docs: DataFrame, path: str) -> DataFrame:
+    """One row per piece of each document: doc_id, start, length, ids_crc32, doc_tokens."""
+    ids = docs.select("doc_id", packing.tokenize(text_or_empty("text"), path, END_ID).alias("ids"))
+    cut = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("doc_tokens"), packing.cut(F.col("ids"), WINDOW).alias("piece"))
+    return cut.select("doc_id", "doc_tokens", F.explode("piece").alias("piece")).select("doc_id", "piece.*", "doc_tokens")
+
+
+@job
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = token_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.pack(pieces, ["doc_id", "start", "length", "ids_crc32"], "length", WINDOW, UNIT)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
