@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, packing
+from tenderloom.llm import bpe, chat, packing, sketch
 from tenderloom.llm.common import table, text_or_empty
+from tenderloom.session import parallelism
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -49,3 +50,107 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = token_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     packed = packing.pack(pieces, ["doc_id", "start", "length", "ids_crc32"], "length", WINDOW, UNIT)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@job
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
+        F.lit(planted).alias("text"),
+    )
+    parted = turns.unionByName(extra).withColumn("parts", chat.text_parts(text_or_empty("text")))
+    made = chat.format_conversations(parted, "conv_id", "turn", "role", "parts")
+    read = made.withColumn("read", chat.read_back(F.col("formatted"), F.col("turns")))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    read = read.withColumn("loss", F.array_join(F.transform("read", lambda t: t["loss"]), ""))
+    return read.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("read", line), ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def _escaped_sql(column: str) -> str:
+    sql = f"replace({column}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        sql = f"replace({sql}, '{c}', '{c[0]}\\{c[1:]}')"
+    return sql
+
+
+CHECKS["op9_chat"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS lines,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = '{chat.LOSS_ROLE}'), '') AS loss,
+    sum(length({_escaped_sql("role")}) + length({_escaped_sql("text")}) + {len(chat.START + chat.MESSAGE + chat.END)})::BIGINT AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+  sha256(loss) AS loss_sha256, formatted_chars
+FROM whole
+"""
+
+
+@job
+def op8_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = sketch.edited_likeness(docs, "doc_id", "text", max(parallelism(spark), 1))
+    return made.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.fingerprint(F.col("sketch")).alias("fingerprint"),
+        sketch.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+CHECKS["op8_sketch"] = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    coalesce(lead(text) OVER ordered, CASE WHEN lead(doc_id) OVER ordered IS NULL THEN first(text) OVER ordered END, '') AS next_text
+  FROM documents WINDOW ordered AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), edits AS (
+  SELECT doc_id, text, next_text,
+    left(text, length(text) - length(text) // 3) || left(next_text, length(text) // 3) AS edited
+  FROM texts
+), versions AS (
+  SELECT doc_id, 'own' AS version, text FROM edits UNION ALL
+  SELECT doc_id, 'edited', edited FROM edits UNION ALL
+  SELECT doc_id, 'next', next_text FROM edits
+), words AS (
+  SELECT doc_id, version, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM versions
+), hashed AS (
+  SELECT doc_id, version, list_distinct(list_transform(
+    CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - {sketch.SHINGLE} + 1, 1) + 1) END,
+    lambda i: left(md5(array_to_string(w[i:i + {sketch.SHINGLE - 1}], ' ')), 16))) AS h
+  FROM words
+), kept AS (
+  SELECT doc_id, version, list_sort(CASE WHEN len(list_filter(h, lambda x: x < '{sketch.BOUND}')) > 0
+    THEN list_filter(h, lambda x: x < '{sketch.BOUND}') ELSE list_sort(h)[1:1] END) AS s
+  FROM hashed
+), wide AS (
+  SELECT e.doc_id, e.text, e.edited, a.s AS own, b.s AS other, c.s AS following
+  FROM edits e JOIN kept a ON a.doc_id = e.doc_id AND a.version = 'own'
+  JOIN kept b ON b.doc_id = e.doc_id AND b.version = 'edited'
+  JOIN kept c ON c.doc_id = e.doc_id AND c.version = 'next'
+)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+  coalesce(array_to_string(own, ''), '') AS fingerprint, coalesce(array_to_string(other, ''), '') AS edited_fingerprint,
+  CASE WHEN len(own) + len(other) = 0 THEN 1.0::DOUBLE
+    ELSE len(list_intersect(own, other))::DOUBLE / len(list_distinct(own || other)) END AS near_edited,
+  CASE WHEN len(own) + len(following) = 0 THEN 1.0::DOUBLE
+    ELSE len(list_intersect(own, following))::DOUBLE / len(list_distinct(own || following)) END AS near_next
+FROM wide
+"""
