@@ -53,12 +53,12 @@ def with_space(pattern: str) -> str:
 class Memo(dict):
     """A dict that computes what it lacks and empties itself when full."""
 
-    def __init__(self, make, most: int, keep=lambda key: True):
-        self.make, self.most, self.keep = make, most, keep
+    def __init__(self, make, most: int, longest: int | None = None):
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
         value = self.make(key)
-        if self.keep(key):
+        if self.longest is None or len(key) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
             self[key] = value
@@ -110,7 +110,7 @@ class ByteBpe:
         self.added = {a["content"]: a["id"] for a in added}
         by_length = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if added else None
-        self.pieces = Memo(self._piece, PIECES_KEPT, lambda piece: len(piece) <= PIECE_CHARS)
+        self.pieces = Memo(self._piece, PIECES_KEPT, PIECE_CHARS)
         # Decoding: the bytes of all ids in one string, and where each begins.
         by_id = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.added.items()}
         size = max(by_id) + 1

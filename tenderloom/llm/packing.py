@@ -68,10 +68,10 @@ class WordTokens:
             raise ValueError(f"{path} doesn't lower letters and drop white space")
         self.merge = self.tokenizer.model.tokenize
         self.letter = {b: c for c, b in byte_letters().items()}
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        short = lambda word: len(word) <= WORD_CHARS
-        self.known = Memo(self._word, WORDS_KEPT, short)
-        self.parts = Memo(self._part, PARTS_KEPT, short)
+        if any("<|" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens are expected to hold <|")
+        self.known = Memo(self._word, WORDS_KEPT, WORD_CHARS)
+        self.parts = Memo(self._part, PARTS_KEPT, WORD_CHARS)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -81,8 +81,10 @@ class WordTokens:
         return array("I", [t.id for t in self.merge(name)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not self.latin.fullmatch(word) or any(a in word for a in self.added):
+        if "<|" in word or not self.latin.fullmatch(word):
             return self._library(word)
+        if word.isalpha():
+            return self.parts[word.lower()]
         return b"".join(map(self.parts.__getitem__, self.split.findall(word.lower())))
 
     def ids(self, text: str) -> bytes:
@@ -104,7 +106,8 @@ def tokenize(text: Column, path: str, end_id: int) -> Column:
         tokens = loaded(path)
         return pa.array((tokens.ids(t.as_py() or "") + end for t in texts), pa.binary())
 
-    return ids(text)
+    # Else the optimiser may put a copy of the call wherever the ids are used.
+    return ids.asNondeterministic()(text)
 
 
 def cut(ids: Column, window: int) -> Column:
