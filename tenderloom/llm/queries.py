@@ -42,7 +42,8 @@ def token_pieces(docs: DataFrame, path: str) -> DataFrame:
     """One row per piece of each document: doc_id, start, length, ids_crc32, doc_tokens."""
     ids = docs.select("doc_id", packing.tokenize(text_or_empty("text"), path, END_ID).alias("ids"))
     cut = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("doc_tokens"), packing.cut(F.col("ids"), WINDOW).alias("piece"))
-    return cut.select("doc_id", "doc_tokens", F.explode("piece").alias("piece")).select("doc_id", "piece.*", "doc_tokens")
+    # Every document has a piece; the outer form only spares a filter that would cut twice.
+    return cut.select("doc_id", "doc_tokens", F.explode_outer("piece").alias("piece")).select("doc_id", "piece.*", "doc_tokens")
 
 
 @job
