@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, chat, packing, sketch
+from tenderloom.llm import bpe, chat, packing, sketch, toxicity
 from tenderloom.llm.common import table, text_or_empty
 from tenderloom.session import parallelism
 
@@ -155,3 +155,10 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
     ELSE len(list_intersect(own, following))::DOUBLE / len(list_distinct(own || following)) END AS near_next
 FROM wide
 """
+
+
+@job
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.severities(docs.select("doc_id", "text"), model).select("doc_id", "expected_severity", "grade", "p_toxic", "toxic")
