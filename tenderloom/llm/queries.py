@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, chat, packing, sketch, toxicity
+from tenderloom.llm import bpe, chat, packing, quality, sketch, toxicity
 from tenderloom.llm.common import table, text_or_empty
 from tenderloom.session import parallelism
 
@@ -162,3 +162,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
     return toxicity.severities(docs.select("doc_id", "text"), model).select("doc_id", "expected_severity", "grade", "p_toxic", "toxic")
+
+
+@job
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    made = quality.assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return made.select("doc_id", *counts, "base_failed", "kept", "perplexity")
