@@ -9,7 +9,8 @@ o(s, t) = ceil(PERCENT (s + t) / (100 + PERCENT)).
 * Large sets, and small ones that could link with them, enter inverted lists. In any order of
   all shingles linked sets share one of their first s - o_min(s) + 1, so only those are listed,
   rare shingles first.
-* The boundary is the size at which the keys of all sets together are fewest.
+* The boundary is the size at which all sets together cost least, a subset's key counting 1 and
+  a listed shingle COMPARED, since few but linked sets share a subset. Any boundary is exact.
 
 Equal sets are one set from the start. Within a list every set is held against the list's first
 set, which takes as many comparisons as the list is long; sets that are connected by then need
@@ -45,6 +46,8 @@ SAMPLED = 8
 KNOWN = 1 << 21
 #: Sizes that may be small: beyond, subsets outnumber any list.
 LARGEST_SMALL = 48
+#: What a listed shingle costs, its list's comparisons included, where a subset's key costs 1.
+COMPARED = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 1 << 18
 
@@ -78,12 +81,12 @@ def subset_keys(s: int, most: int, percent: int) -> int:
 
 
 def boundary(histogram: dict[int, int], percent: int) -> int:
-    """The largest small size with the fewest keys in all; histogram covers LARGEST_SMALL and more."""
+    """The largest small size with the least cost in all; histogram covers LARGEST_SMALL and more."""
     best = (float("inf"), 0)
     for most in range(LARGEST_SMALL + 1):
         reach = percent * (most + 1) / 100  # small sets from here on may link with large ones
         cost = sum(
-            n * ((subset_keys(s, most, percent) if s <= most else 0) + (listed(s, percent) if s >= reach else 0))
+            n * ((subset_keys(s, most, percent) if s <= most else 0) + (COMPARED * listed(s, percent) if s >= reach else 0))
             for s, n in histogram.items()
             if s <= LARGEST_SMALL / percent * 100 + 1
         )
