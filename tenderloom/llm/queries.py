@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, chat, ngram_join, packing, quality, sketch, toxicity
+from tenderloom.llm import bpe, chat, ngram_join, packing, quality, sketch, substring_dedup, toxicity
 from tenderloom.llm.common import table, text_or_empty
 from tenderloom.session import parallelism
 
@@ -199,3 +199,27 @@ reach(doc_id, other) AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id
 FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
+
+
+@job
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = substring_dedup.repeats(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+CHECKS["op10_substring_dedup"] = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest(list_transform(range(1, len(w) - 33), lambda i: array_to_string(w[i:i + 34], ' '))) AS t
+  FROM words WHERE len(w) >= 35
+), again AS (SELECT t FROM windows GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN again ON windows.t = again.t),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM words),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS t, count(*) AS n
+  FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
