@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, chat, ngram_join, packing, quality, sketch, substring_dedup, toxicity
+from tenderloom.llm import bpe, chat, ngram_join, packing, quality, secrets, sketch, spans, substring_dedup, toxicity
 from tenderloom.llm.common import table, text_or_empty
 from tenderloom.session import parallelism
 
@@ -223,3 +223,19 @@ kept AS (
 SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
 """
+
+
+@job
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    made = secrets.scan(docs, "doc_id", "text", "source", "source")
+    base = F.col("base")
+    return made.select(
+        "doc_id",
+        spans.count(base, 0).alias("n_assign"),
+        spans.count(base, 1).alias("n_access"),
+        spans.count(base, 2).alias("n_hex"),
+        F.sha2(spans.listing(base, secrets.KINDS), 256).alias("base_sha256"),
+        spans.listing(F.col("all"), secrets.KINDS).alias("spans"),
+        "n_live",
+    )
