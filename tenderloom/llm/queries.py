@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, chat, ngram_join, packing, quality, secrets, sketch, spans, substring_dedup, toxicity
+from tenderloom.llm import bpe, chat, ngram_join, packing, pii, quality, secrets, sketch, spans, substring_dedup, toxicity
 from tenderloom.llm.common import table, text_or_empty
 from tenderloom.session import parallelism
 
@@ -239,3 +239,15 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
         spans.listing(F.col("all"), secrets.KINDS).alias("spans"),
         "n_live",
     )
+
+
+@job
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    made = pii.detect(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+    base = F.col("base")
+    return made.select(
+        "doc_id",
+        *(spans.count(base, k).alias(f"n_{pii.KINDS[k]}") for k in range(pii.BASE)),
+        F.sha2(spans.listing(base, pii.KINDS), 256).alias("base_sha256"),
+        spans.listing(F.col("all"), pii.KINDS).alias("spans"),
+    )
