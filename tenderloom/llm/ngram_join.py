@@ -40,8 +40,6 @@ from tenderloom.llm.common import text_or_empty
 from tenderloom.llm.components import components
 from tenderloom.session import cut_lineage
 
-#: One shingle in SAMPLED has its frequency counted; the other ones come after the rare ones.
-SAMPLED = 8
 #: Shingles whose frequency every task knows, at most (9 bytes each); the rest count as rare.
 KNOWN = 1 << 21
 #: Sizes that may be small: beyond, subsets outnumber any list.
@@ -68,6 +66,11 @@ def listed(s, percent: int):
     return s - least + 1
 
 
+def sampled(percent: int) -> int:
+    """One shingle in so many has its frequency counted: enough to fill the lists of most sets."""
+    return max(1, 80 // (100 - percent)) if percent < 100 else 64
+
+
 def subset_sizes(s: int, most: int, percent: int) -> list[int]:
     """Sizes of the subsets that a small set of s lists."""
     found = {needed(s, t, percent) for t in partners(s, percent) if 0 < t <= most and needed(s, t, percent) <= min(s, t)}
@@ -141,12 +144,14 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     return _per_document(docs, "doc_id long, n_shingles long, name binary", of, ["n_shingles", "name"], [pa.int64(), pa.binary()])
 
 
-def _frequencies(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequencies(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Sampled shingles that occur in several documents, sorted, and the logarithms of their counts."""
 
+    one_in = np.uint64(sampled(percent))
+
     def work(batches):
         for batch in batches:
-            found = [s[s % np.uint64(SAMPLED) == 0] for s in (shingles(t, n) for t in batch["text"].to_pylist())]
+            found = [s[s % one_in == 0] for s in (shingles(t, n) for t in batch["text"].to_pylist())]
             keys, counts = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
 
@@ -170,7 +175,7 @@ def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, most: int, perc
                 drop = np.array([s[list(c)].sum(dtype=np.uint64) for c in combinations(range(size), size - o)], np.uint64)
                 out.append(mix((whole - drop) ^ np.uint64(o * 2 + 1)))
     if size >= percent * (most + 1) / 100:
-        rank = np.where(s % np.uint64(SAMPLED) == 0, 0, 1)  # not counted: after the rare ones
+        rank = np.where(s % np.uint64(sampled(percent)) == 0, 0, 1)  # not counted: after the rare ones
         if len(keys):
             at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
             rank = np.where(keys[at] == s, logs[at] + 1, rank)
@@ -179,7 +184,7 @@ def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, most: int, perc
 
 
 def _signatures(docs: DataFrame, n: int, percent: int, most: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, n))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, n, percent))
 
     def of(text):
         s = shingles(text, n)
