@@ -34,8 +34,8 @@ from tenderloom.session import cut_lineage
 #: Labelled documents of either label that a model is fitted on, at most.
 SAMPLE = 8000
 #: Features of a model at most; the odds towards toxic documents that a feature needs, and the
-#: likelihood ratio (2 log) against chance, far above what the best of a million words reaches.
-FEATURES, ODDS, EVIDENCE = 4000, 5.0, 40.0
+#: likelihood ratio (2 log) against chance, about what the best of a million words reaches.
+FEATURES, ODDS, EVIDENCE = 4000, 5.0, 25.0
 GRADES = 4
 #: Lengths of the beginnings of longer words.
 BEGINNINGS = range(3, 10)
