@@ -23,14 +23,3 @@ def char_prefix(code: Column, n: int = 4) -> Column:
 
 def prefix_set(codes: Column, n: int = 4) -> Column:
     return F.array_distinct(F.array_compact(F.transform(codes, lambda c: char_prefix(c, n))))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Overlap of two sets; 0 when either side is empty."""
-    return F.coalesce(
-        F.when(
-            (F.size(a) > 0) & (F.size(b) > 0),
-            F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)),
-        ),
-        F.lit(0.0),
-    )

@@ -16,12 +16,6 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * fixed.EARTH_RADIUS_KM) * F.asin(F.sqrt(h))
 
 
-def provinces(spark: SparkSession, table: dict | None = None) -> DataFrame:
-    """The province dimension (province, lat, lon)."""
-    rows = [(name, lat, lon) for name, (lat, lon) in (table or fixed.PROVINCES).items()]
-    return spark.createDataFrame(rows, "province string, lat double, lon double")
-
-
 def province_distances(dimension: DataFrame) -> DataFrame:
     """All province pairs, one row-local explode over the 24-name dimension."""
     everyone = dimension.agg(F.collect_list(F.struct("province", "lat", "lon"))).scalar()

@@ -201,13 +201,6 @@ def process_text(items: Column) -> Column:
     return F.array_join(usable, " ")
 
 
-def item_count() -> Column:
-    """Items in the tender plus items in the awards."""
-    return F.size(_items(F.col("tender.items"))) + F.aggregate(
-        _items(F.col("awards")), F.lit(0), lambda acc, a: acc + F.size(_items(a["items"]))
-    )
-
-
 def first_failure(reasons: list[tuple[str, Column]]) -> Column:
     """Name of the first failing check, null when all pass."""
     label = F.lit(None).cast("string")

@@ -65,19 +65,3 @@ def group_role(rank: Column, mean_km: Column) -> Column:
         .when(mean_km < fixed.NEAR_KM, "Cercanía geográfica")
         .otherwise("Mercado general")
     )
-
-
-def gower(
-    row: list[Column],
-    other: list[Column],
-    ranges: list,
-    same_category: Column,
-    category_weight: float = fixed.CATEGORY_WEIGHT,
-) -> Column:
-    """Weighted mixed-type distance: numeric weight 1 each, category its own weight."""
-    total = len(row) + category_weight
-    parts = [F.abs(a - b) / _col(r) for a, b, r in zip(row, other, ranges)]
-    distance = F.when(same_category, F.lit(0.0)).otherwise(F.lit(float(category_weight)))
-    for part in parts:
-        distance = distance + part
-    return distance / F.lit(float(total))

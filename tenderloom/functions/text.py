@@ -32,10 +32,6 @@ def fold_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{Mn}", "")
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.when(F.trim(text) != "", text)
-
-
 def province_name(raw: Column) -> Column:
     """Upper case, no diacritics, single spaces; blank becomes null."""
     folded = fold_accents(F.upper(F.trim(raw)))

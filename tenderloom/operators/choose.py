@@ -20,9 +20,15 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, ra
 
 
 def keep_latest_date(releases: DataFrame) -> DataFrame:
-    """One release per id: latest date text wins, the earlier read wins a tie."""
+    """One release per process: latest date text wins, the earlier read wins a tie.
+
+    A process is known by its ocid, else by its release id; lines with neither are skipped.
+    """
+    filled = lambda c: F.when(F.col(c).cast("string") != "", F.col(c))
+    names = [filled(c) for c in ("ocid", "id") if c in releases.columns]
+    known = releases.withColumn("_process", F.coalesce(*names)).filter(F.col("_process").isNotNull())
     order = [F.coalesce("date", F.lit("")).desc(), F.col("source_year"), F.col("position")]
-    return first_by(releases, ["ocid"], order)
+    return first_by(known, ["_process"], order).drop("_process")
 
 
 def keep_last_read(releases: DataFrame) -> DataFrame:

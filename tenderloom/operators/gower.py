@@ -24,10 +24,6 @@ PENALTY = fixed.CATEGORY_WEIGHT / (len(fixed.NUMERIC) + fixed.CATEGORY_WEIGHT)
 GROUPS_PER_PASS = 48
 
 
-def penalty(n_axes: int, weight: float = fixed.CATEGORY_WEIGHT) -> float:
-    return weight / (n_axes + weight)
-
-
 def distance(a: dict[str, Column], b: dict[str, Column], axes: list[str], category: str, mismatch: float) -> Column:
     total = F.when(a[category] == b[category], 0.0).otherwise(mismatch)
     for axis in axes:

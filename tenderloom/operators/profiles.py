@@ -20,7 +20,8 @@ class History:
     lines           one row per award and named supplier (a supplier named twice
                     in an award gives two rows, an award without supplier one
                     row with a null supplier_id): supplier_id, supplier_name,
-                    region, buyer_id, modality, amount
+                    region, buyer_id, modality, amount; award_uid where an award may
+                    have several lines
     items           one row per awarded item and named supplier: supplier_id, code, text
                     (either may be null)
     buyer_codes     buyer_id, code, award_uid   (awards without supplier included)
@@ -41,15 +42,20 @@ class History:
 
 def history(releases: DataFrame) -> History:
     """Facts out of nested releases; everything is row-local explodes."""
+    # An award is known by where it was read, else by all it says.
+    read = ["position"] if "position" in releases.columns else []
     award = releases.select(
         "ocid",
         "source_year",
         "date",
+        *read,
         F.nullif(F.col("buyer.id"), F.lit("")).alias("buyer_id"),
         F.nullif(F.col("tender.procurementMethodDetails"), F.lit("")).alias("modality"),
         nested.supplier_regions(F.col("parties")).alias("regions"),
         F.posexplode("awards").alias("award_pos", "award"),
     ).withColumn("codes", nested.main_codes(F.col("award.items")))
+    said = ["source_year", *read] if read else ["source_year", "ocid", "date", "award"]
+    award = award.withColumn("award_uid", F.sha2(F.to_json(F.struct(*said, "award_pos")), 256))
     named = award.select(
         "*",
         F.explode_outer(F.filter("award.suppliers", lambda s: s["id"] != "")).alias("supplier"),
@@ -62,9 +68,9 @@ def history(releases: DataFrame) -> History:
         "buyer_id",
         "modality",
         F.col("award.value.amount").alias("amount"),
+        "award_uid",
     )
     known = named.filter(F.col("supplier_id").isNotNull())
-    uid = F.xxhash64("source_year", "ocid", "date", "award_pos", F.to_json("award"))
     return History(
         lines=lines,
         items=known.select("supplier_id", F.explode("award.items").alias("item")).select(
@@ -73,7 +79,7 @@ def history(releases: DataFrame) -> History:
             F.nullif(F.col("item.description"), F.lit("")).alias("text"),
         ),
         buyer_codes=award.filter(F.col("buyer_id").isNotNull()).select(
-            "buyer_id", F.explode("codes").alias("code"), uid.alias("award_uid")
+            "buyer_id", F.explode("codes").alias("code"), "award_uid"
         ),
     )
 
@@ -157,8 +163,9 @@ def buyer_code_facts(h: History) -> DataFrame:
 
 
 def run_counters(h: History, profile: DataFrame) -> DataFrame:
-    """Counters of a profile run, one row."""
-    lines = h.lines.agg(
+    """Counters of a profile run, one row; an award with several suppliers counts once."""
+    awards = h.lines.dropDuplicates(["award_uid"]) if "award_uid" in h.lines.columns else h.lines
+    lines = awards.agg(
         F.count_if(F.col("supplier_id").isNull()).alias("awards_without_supplier"),
         F.count_if(F.col("amount").isNull()).alias("lines_without_amount"),
     )

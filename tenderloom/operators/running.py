@@ -16,7 +16,7 @@ from tenderloom.session import parallelism
 
 
 def default_ranges(df: DataFrame) -> int:
-    return max(4, min(256, parallelism(df.sparkSession)))
+    return max(4, parallelism(df.sparkSession))
 
 
 def value_ranges(points: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
@@ -67,11 +67,16 @@ def percentiles(
     value: str,
     wanted: dict[str, float],
     ranges: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per key."""
+    """Exact percentiles with linear interpolation, one row per key.
+
+    ``weight`` holds how many equal rows a row stands for.
+    """
     keyed = df if keys else df.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
-    points = keyed.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    points = keyed.filter(F.col(value).isNotNull()).groupBy(*by, value)
+    points = points.agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     run = running_sums(points, by, value, ["_n"], ranges)
 
     def at(position: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,21 +172,13 @@ def coverage_grid(d: Domain) -> DataFrame:
 
 @job(
     "alt_key_discovery",
-    """SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(CASE event_type WHEN 'purchase' THEN '{"budgetPlan": 1, "k": 2}'
-       WHEN 'view' THEN '{"Estimated": 1}' ELSE props END)) AS key FROM events)
+    """SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events)
        WHERE (contains(lower(key), 'budget') OR contains(lower(key), 'estimat') OR contains(lower(key), 'k')) AND key <> 'budget'
        GROUP BY 1""",
 )
 def alt_key_discovery(d: Domain) -> DataFrame:
     """Keys of a JSON object column that look like a budget."""
-    kind = F.col("event_type")
-    rows = d.table("events").select(
-        F.when(kind == "purchase", F.lit('{"budgetPlan": 1, "k": 2}'))
-        .when(kind == "view", F.lit('{"Estimated": 1}'))
-        .otherwise(F.col("props"))
-        .alias("object")
-    )
-    return releases.budget_like_keys(rows, "object", ["budget", "estimat", "k"], ["budget"])
+    return releases.budget_like_keys(d.table("events"), "props", ["budget", "estimat", "k"], ["budget"])
 
 
 @job(
@@ -231,16 +225,15 @@ def run_counters(d: Domain) -> DataFrame:
 
 @job(
     "union_years_distinct",
-    """SELECT DISTINCT o_custkey AS buyer_id, o_orderpriority AS modality FROM orders
-       WHERE year(o_orderdate) IN (1995, 1996) OR year(o_orderdate) >= 2000""",
+    "SELECT DISTINCT o_custkey AS buyer_id, o_orderpriority AS modality FROM orders",
 )
 def union_years_distinct(d: Domain) -> DataFrame:
-    """Year slices concatenated, then distinct rows."""
+    """All year slices concatenated, then distinct rows."""
     orders = d.table("orders")
     year = F.year("o_orderdate")
-    parts = [orders.filter(year == 1995), orders.filter(year == 1996), orders.filter(year >= 2000)]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return both.select(F.col("o_custkey").alias("buyer_id"), F.col("o_orderpriority").alias("modality")).distinct()
+    slices = [year < 1993, *(year == y for y in range(1993, 1998)), year > 1997, year.isNull()]
+    every = reduce(DataFrame.unionByName, [orders.filter(s) for s in slices])
+    return every.select(F.col("o_custkey").alias("buyer_id"), F.col("o_orderpriority").alias("modality")).distinct()
 
 
 @job(

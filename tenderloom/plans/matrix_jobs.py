@@ -149,16 +149,27 @@ def tfidf_batch(d: Domain) -> DataFrame:
 
 
 @job("similarity_diagnostics", sql("""SELECT supplier_id, round(avg(sim), 6) AS mean, round(quantile_cont(sim, 0.9), 6) AS p90, round(max(sim), 6) AS max,
-     round(stddev_pop(sim) / avg(sim), 6) AS cv FROM d_bsim WHERE sim > 0 GROUP BY 1""", **_LANGS))
+     round(stddev_pop(sim) / nullif(avg(sim), 0), 6) AS cv FROM (SELECT s.supplier_id, coalesce(b.sim, 0) AS sim
+     FROM (SELECT DISTINCT source AS supplier_id FROM documents WHERE lang = 'es') s
+     CROSS JOIN (SELECT doc_id FROM documents WHERE lang <> 'es') t LEFT JOIN d_bsim b ON b.supplier_id = s.supplier_id AND b.doc_id = t.doc_id)
+     GROUP BY 1""", **_LANGS))
 def similarity_diagnostics(d: Domain) -> DataFrame:
-    """Mean, p90, maximum and variation of each corpus's similarities."""
+    """Mean, p90, maximum and variation of each corpus's similarities with all documents, zeros included."""
     from tenderloom.operators.running import percentiles
 
-    sims = cut_lineage(_batch_similarity(d).filter(F.col("sim") > 0))
+    found = cut_lineage(_batch_similarity(d).filter(F.col("sim") > 0))
+    # Pairs without a common term are zeros: one row per corpus that stands for all of them.
+    docs = d.table("documents")
+    corpora = docs.filter(F.col("lang") == "es").select(F.col("source").alias("supplier_id")).distinct()
+    n = docs.filter(F.col("lang") != "es").count()
+    some = corpora.join(found.groupBy("supplier_id").agg(F.count("*").alias("some")), "supplier_id", "left")
+    zeros = some.select("supplier_id", F.lit(0.0).alias("sim"), (F.lit(n) - F.coalesce("some", F.lit(0))).alias("rows"))
+    sims = found.select("supplier_id", "sim", F.lit(1).cast("long").alias("rows")).unionByName(zeros.filter("rows > 0"))
+    mean, square = F.sum("sim") / n, F.sum(F.col("sim") * F.col("sim")) / n
     stats = sims.groupBy("supplier_id").agg(
-        F.avg("sim").alias("mean"), F.max("sim").alias("max"), (F.stddev_pop("sim") / F.avg("sim")).alias("cv")
+        mean.alias("mean"), F.max("sim").alias("max"), F.try_divide(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), mean).alias("cv")
     )
-    joined = stats.join(percentiles(sims, BY, "sim", {"p90": 0.9}), "supplier_id")
+    joined = stats.join(percentiles(sims, BY, "sim", {"p90": 0.9}, weight="rows"), "supplier_id")
     return rounded(joined, BY, ["mean", "p90", "max", "cv"])
 
 

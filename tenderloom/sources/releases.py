@@ -54,19 +54,25 @@ def read_releases(
     ``FAILFAST`` stops at a bad line, ``DROPMALFORMED`` skips it and
     ``PERMISSIVE`` keeps it in ``_corrupt_record``. Missing paths raise, blank lines do
     not count. A gzip file is one task, so ``partitions`` spreads the rows right after
-    parsing.
+    parsing. ``position`` orders the lines as they stand in the files: a block of a file is
+    read by one task, in order.
     """
     year = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1).alias("source_year")
-    keep = ["source_year"]
+    position = F.struct(
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    ).alias("position")
+    keep = ["source_year", "position"]
     if mode == "FAILFAST":
-        lines = spark.read.schema(PACKAGE).option("mode", mode).json(paths).select("*", year)
+        lines = spark.read.schema(PACKAGE).option("mode", mode).json(paths).select("*", year, position)
     else:
         # Whether a line is bad must not depend on the columns a query happens to use,
         # so the whole line is parsed as an expression.
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
         parsed = F.from_json("value", PACKAGE + ", _corrupt_record string", options)
-        text = spark.read.text(paths).filter(F.trim("value") != "")
-        lines = text.select(year, parsed.alias("p")).select("source_year", "p.*")
+        text = spark.read.text(paths).select("value", year, position).filter(F.trim("value") != "")
+        lines = text.select("source_year", "position", parsed.alias("p")).select("source_year", "position", "p.*")
         if mode == "DROPMALFORMED":
             lines = lines.filter(F.col("_corrupt_record").isNull())
         else:
