@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom import fixed
 from tenderloom.functions.codes import char_prefix, digit_prefix
 from tenderloom.functions.geo import haversine_km
 from tenderloom.operators import textsim
