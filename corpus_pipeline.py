@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderloom.llm import ngram_join, packing, pii, substring_dedup, toxicity
-from tenderloom.llm.queries import END_ID, UNIT, WINDOW, token_pieces
+from tenderloom.llm.queries import UNIT, WINDOW, token_pieces
 from tenderloom.session import cut_lineage
 
 #: Near duplicates: five words a shingle, a likeness of 0.8 or more.

@@ -1,7 +1,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import test_pii, test_substring_dedup

@@ -1,6 +1,5 @@
 import hashlib
 import re
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
