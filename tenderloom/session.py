@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +44,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tenderloom-")
+    folder = tempfile.mkdtemp(prefix="tenderloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables():
+    """The paths of the tables that `cut_lineage` writes meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that `cut_lineage` wrote and nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -53,6 +79,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tenderloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recorders:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
