@@ -2,37 +2,60 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs. All but the last keep the columns of documents; n_chars
-follows the text.
+follows the text. A stage begins by removing the temporary tables of the stage before, whose
+result is written by then.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderloom.llm import ngram_join, packing, pii, substring_dedup, toxicity
 from tenderloom.llm.queries import UNIT, WINDOW, token_pieces
-from tenderloom.session import cut_lineage
+from tenderloom.session import cut_lineage, recorded_tables, remove_tables
 
 #: Near duplicates: five words a shingle, a likeness of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 
 
+_left: list[str] = []
+
+
+def stage(f):
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_tables(spark, _left)
+        _left.clear()
+        with recorded_tables() as paths:
+            made = f(spark, docs, sf_dir)
+        _left.extend(paths)
+        return made
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose severity model doesn't call them toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.severities(docs.withColumn("toxic_text", F.col("text")), model, "toxic_text").filter(~F.col("toxic")).select(*docs.columns)
 
 
+@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     groups = ngram_join.join(docs, SHINGLE, PERCENT)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     # Rows with the same id and text are one document; rows without an id have no group.
     kept = docs.join(first, "doc_id").union(docs.filter("doc_id IS NULL").select("doc_id", *[c for c in docs.columns if c != "doc_id"]))
-    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    kept = kept.select(*docs.columns)
+    return kept if docs.groupBy("doc_id").count().filter("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
+@stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that are found elsewhere; a document that loses all its words goes."""
     found, parts = substring_dedup.repeats(docs, "doc_id", "text")
@@ -43,6 +66,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return with_text(kept, docs.columns, F.col("new"))
 
 
+@stage
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
     # Written once: the fit and the result read it.
@@ -51,6 +75,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_text(found, docs.columns, pii.redact(F.col("text"), pii.selected(model)))
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the sequences."""
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -77,9 +102,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
-    return cut_lineage(STAGES[-1][1](spark, docs, sf_dir))
+    for _, f in STAGES:
+        docs = cut_lineage(f(spark, docs, sf_dir))
+    return docs
 
 
 JOBS = {"pipeline": run}
