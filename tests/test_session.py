@@ -25,3 +25,12 @@ def test_written_table_keeps_rows_and_plan_is_one_scan(spark):
     df = session.cut_lineage(spark.range(10).selectExpr("id", "struct(id as a, array(id) as b) as s"))
     assert df.count() == 10 and df.schema["s"].dataType.names == ["a", "b"]
     assert all(Path(f.replace("file:", "")).name for f in df.inputFiles())
+
+
+def test_recorded_tables_can_be_removed(spark):
+    with session.recorded_tables() as paths:
+        df = session.cut_lineage(spark.range(3))
+    session.cut_lineage(spark.range(2))
+    assert len(paths) == 1 and df.count() == 3
+    session.remove_tables(spark, paths)
+    assert not Path(paths[0]).exists()
