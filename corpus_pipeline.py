@@ -14,6 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderloom.llm import ngram_join, packing, pii, substring_dedup, toxicity
+from tenderloom.llm.common import broadcast_if_few
 from tenderloom.llm.queries import UNIT, WINDOW, token_pieces
 from tenderloom.session import cut_lineage, recorded_tables, remove_tables
 
@@ -48,10 +49,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     groups = ngram_join.join(docs, SHINGLE, PERCENT)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    # Rows with the same id and text are one document; rows without an id have no group.
-    kept = docs.join(first, "doc_id").union(docs.filter("doc_id IS NULL").select("doc_id", *[c for c in docs.columns if c != "doc_id"]))
-    kept = kept.select(*docs.columns)
+    # Rows without an id have no group. Rows with the same id and text are one document.
+    others = cut_lineage(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(broadcast_if_few(others), "doc_id", "left_anti").select(*docs.columns)
     return kept if docs.groupBy("doc_id").count().filter("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 

@@ -22,5 +22,14 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+#: Rows of a few numbers that may go to every task.
+FEW = 500_000
+
+
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """df, to be sent to every task if its counted rows are at most FEW; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
