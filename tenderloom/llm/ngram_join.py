@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tenderloom.llm.bpe import Memo
-from tenderloom.llm.common import text_or_empty
+from tenderloom.llm.common import broadcast_if_few, text_or_empty
 from tenderloom.llm.components import components
 from tenderloom.session import cut_lineage
 
@@ -44,6 +44,8 @@ from tenderloom.session import cut_lineage
 KNOWN = 1 << 21
 #: Sizes that may be small: beyond, subsets outnumber any list.
 LARGEST_SMALL = 48
+#: Parts in which the sizes of sets are held against each other before the sets are.
+BUCKETS = 256
 #: What a listed shingle costs, its list's comparisons included, where a subset's key costs 1.
 COMPARED = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -134,39 +136,39 @@ def _per_document(docs: DataFrame, schema: str, of, names: list[str], kinds: lis
     return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(work, schema)
 
 
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit name of the set (null if empty)."""
+def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit name of the set (null if empty) and its sampled shingles."""
+    one_in = np.uint64(sampled(percent))
 
     def of(text):
         s = shingles(text, n)
-        return len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-
-    return _per_document(docs, "doc_id long, n_shingles long, name binary", of, ["n_shingles", "name"], [pa.int64(), pa.binary()])
+        name = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+        return len(s), name, s[s % one_in == 0].view(np.int64)
 
+    schema = "doc_id long, n_shingles long, name binary, some array<long>"
+    return _per_document(docs, schema, of, ["n_shingles", "name", "some"], [pa.int64(), pa.binary(), pa.list_(pa.int64())])
 
-def _frequencies(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled shingles that occur in several documents, sorted, and the logarithms of their counts."""
 
-    one_in = np.uint64(sampled(percent))
+def _frequencies(every: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sampled shingles that occur in several documents, sorted, the logarithms of their counts,
+    and whether these are all such shingles."""
 
-    def work(batches):
-        for batch in batches:
-            found = [s[s % one_in == 0] for s in (shingles(t, n) for t in batch["text"].to_pylist())]
-            keys, counts = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
-
-    counted = docs.select(text_or_empty("text").alias("text")).mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = every.select(F.explode("some").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     several = cut_lineage(counted.filter("n > 1"))
     above = {r.k: r["count"] for r in several.groupBy(F.ceil(F.log2("n")).cast("int").alias("k")).count().collect()}
     least = min((k for k in range(65) if sum(c for j, c in above.items() if j >= k) <= KNOWN), default=65)
     table = several.filter(F.ceil(F.log2("n")) >= least).select("key", F.ceil(F.log2("n")).cast("byte").alias("k")).toArrow()
     keys, k = table["key"].to_numpy().view(np.uint64), table["k"].to_numpy()
     order = np.argsort(keys)
-    return keys[order], k[order].astype(np.uint8)
+    return keys[order], k[order].astype(np.uint8), least <= 1
+
 
+def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, known: bool, most: int, percent: int) -> np.ndarray:
+    """All keys of a set: hashes of subsets and of listed shingles.
 
-def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, most: int, percent: int) -> np.ndarray:
-    """All keys of a set: hashes of subsets and of listed shingles."""
+    Where all sampled shingles of several documents are known, the others' lists would hold
+    this set alone, so they are left out.
+    """
     size, out = len(s), []
     if size <= most:
         with np.errstate(over="ignore"):
@@ -175,16 +177,20 @@ def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, most: int, perc
                 drop = np.array([s[list(c)].sum(dtype=np.uint64) for c in combinations(range(size), size - o)], np.uint64)
                 out.append(mix((whole - drop) ^ np.uint64(o * 2 + 1)))
     if size >= percent * (most + 1) / 100:
-        rank = np.where(s % np.uint64(sampled(percent)) == 0, 0, 1)  # not counted: after the rare ones
+        counted = np.flatnonzero(s % np.uint64(sampled(percent)) == 0)
+        rank = np.ones(size, np.uint8)  # not counted: after the rare ones
+        rank[counted] = 0
         if len(keys):
-            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-            rank = np.where(keys[at] == s, logs[at] + 1, rank)
-        out.append(s[np.lexsort((s, rank))[: listed(size, percent)]])
+            at = np.minimum(np.searchsorted(keys, s[counted]), len(keys) - 1)
+            rank[counted] = np.where(keys[at] == s[counted], logs[at] + 1, 0)
+        # The set is sorted and the sort is stable: by rank, then by hash.
+        first = np.argsort(rank, kind="stable")[: listed(size, percent)]
+        out.append(s[first[rank[first] > 0] if known else first])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _signatures(docs: DataFrame, n: int, percent: int, most: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, n, percent))
+def _signatures(docs: DataFrame, every: DataFrame, n: int, percent: int, most: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(every))
 
     def of(text):
         s = shingles(text, n)
@@ -193,8 +199,28 @@ def _signatures(docs: DataFrame, n: int, percent: int, most: int) -> DataFrame:
     return _per_document(docs, "doc_id long, size int, keys array<long>", of, ["size", "keys"], [pa.int32(), pa.list_(pa.int64())])
 
 
-def _compare(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """pairs (a, b) with their overlap, from the stored sets (id, shingles)."""
+def buckets(s: np.ndarray) -> bytes:
+    """How many shingles have each of BUCKETS remainders."""
+    return np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
+
+
+def _promising(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that can link by their buckets: what sets share they share bucket by bucket."""
+
+    def work(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64) for c in ("left", "right"))
+            most = np.minimum(x, y).sum(axis=1)
+            alive = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
+            yield batch.select(["a", "b"]).filter(pa.array(alive))
+
+    left, right = (stored.select(F.col("doc_id").alias(i), F.col("buckets").alias(s)) for i, s in (("a", "left"), ("b", "right")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, "a long, b long")
+
+
+def _compare(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that can link, with their overlap, from the stored sets (id, shingles, buckets)."""
+    pairs = cut_lineage(_promising(pairs, stored, percent))
 
     def work(batches):
         for batch in batches:
@@ -209,25 +235,34 @@ def _compare(pairs: DataFrame, stored: DataFrame) -> DataFrame:
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, n_links (links of its set to other sets found)."""
     docs = docs.select("doc_id", "text")
-    every = cut_lineage(sets(docs, n))
+    every = cut_lineage(sets(docs, n, percent))
     # Equal sets are one, under their smallest id.
     first = cut_lineage(every.filter("name IS NOT NULL AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size")))
     histogram = {r.s: r["count"] for r in first.groupBy(F.least("size", F.lit(2 * LARGEST_SMALL)).alias("s")).count().collect()}
     most = boundary(histogram, percent)
-    keys = _signatures(docs, n, percent, most).join(first.select(F.col("first").alias("doc_id")), "doc_id")
+    keys = _signatures(docs, every, n, percent, most).join(first.select(F.col("first").alias("doc_id")), "doc_id")
     rows = cut_lineage(keys.select("doc_id", "size", F.explode("keys").alias("key")))
     # A repeated row of a first document is the same member.
     lists = rows.groupBy("key").agg(F.min(F.struct("doc_id", "size")).alias("pivot"), F.max("doc_id").alias("last")).filter("pivot.doc_id < last")
     members = cut_lineage(rows.join(lists.select("key", "pivot"), "key").select("key", "doc_id", "size", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
-    involved = members.select("doc_id").distinct()
-    raw = docs.join(involved, "doc_id")
-    stored = cut_lineage(_per_document(raw, "doc_id long, shingles binary", lambda t: (shingles(t, n).tobytes(),), ["shingles"], [pa.binary()]).dropDuplicates(["doc_id"]))
+    involved = cut_lineage(members.select("doc_id").distinct())
+    raw = docs.join(broadcast_if_few(involved), "doc_id")
+
+    def whole(text):
+        s = shingles(text, n)
+        return s.tobytes(), buckets(s)
+
+    kept = _per_document(raw, "doc_id long, shingles binary, buckets binary", whole, ["shingles", "buckets"], [pa.binary(), pa.binary()])
+    # Only a document that is in the table twice is here twice.
+    once = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    stored = cut_lineage(kept if once else kept.dropDuplicates(["doc_id"]))
 
     fits = lambda s, t: 100 * F.least(s, t) >= percent * F.greatest(s, t)
     similar = lambda o, s, t: 100 * o >= percent * (s + t - o)
-    # Each set against the first of its lists: the overlap is kept for the bound below.
-    near = members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), "size", "pivot_size").distinct()
-    near = cut_lineage(_compare(near.select("a", "b"), stored).join(near, ["a", "b"]))
+    # Each set against the first of its lists, if sizes allow; the overlap is kept for the bound below.
+    could = fits(F.col("size"), F.col("pivot_size"))
+    near = members.filter((F.col("doc_id") != F.col("pivot")) & could).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), "size", "pivot_size").distinct()
+    near = cut_lineage(_compare(near.select("a", "b"), stored, percent).join(near, ["a", "b"]))
     links = cut_lineage(near.filter(similar(F.col("overlap"), F.col("size"), F.col("pivot_size"))).select("a", "b"))
     joined = components(links)
 
@@ -235,17 +270,18 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     known = members.join(joined, members["doc_id"] == joined["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     far = near.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), (1 - F.col("overlap") / (F.col("size") + F.col("pivot_size") - F.col("overlap"))).alias("far"))
-    rest = known.join(mixed, "key").join(far, ["doc_id", "pivot"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    rest = known.join(mixed, "key").join(far, ["doc_id", "pivot"], "left").withColumn("far", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("far")))
     rest = cut_lineage(rest.select("key", "doc_id", "size", "component", "far"))
     x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.component") < F.col("y.component")) & fits(F.col("x.size"), F.col("y.size")) & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9)
+    bound = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    apart = (F.col("x.component") < F.col("y.component")) & fits(F.col("x.size"), F.col("y.size")) & bound
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
     cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.size").alias("s"), F.col("y.size").alias("t")).distinct()
     cross = cut_lineage(cross)
-    more = _compare(cross.select("a", "b"), stored).join(cross, ["a", "b"]).filter(similar(F.col("overlap"), F.col("s"), F.col("t"))).select("a", "b")
+    more = _compare(cross.select("a", "b"), stored, percent).join(cross, ["a", "b"]).filter(similar(F.col("overlap"), F.col("s"), F.col("t"))).select("a", "b")
     links = cut_lineage(links.union(more).distinct())
     joined = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = first.join(joined, first["first"] == joined["node"], "left").drop("node").join(degree, F.col("first") == F.col("node"), "left")
     named = named.select("name", F.coalesce("component", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return every.join(named, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return every.drop("some").join(named, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
