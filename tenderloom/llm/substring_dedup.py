@@ -19,27 +19,18 @@ Repeated rows are copies of each other. Ids may repeat or be null. Empty tables
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tenderloom.llm.bpe import Memo
 from tenderloom.llm.common import text_or_empty
-from tenderloom.llm.ngram_join import MIX, mix
+from tenderloom.llm.ngram_join import MIX, _word_hashes, mix
 from tenderloom.session import cut_lineage
 
 LENGTH = 35
 #: Lengths of the levels: each is twice the one before, or the full length.
 LEVELS = (9, 18, LENGTH)
-WORDS_KEPT = 1 << 18
-
-
-@lru_cache(1)
-def _word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, WORDS_KEPT, 64)
 
 
 def split(text: str) -> list[bytes]:
