@@ -49,7 +49,7 @@ BUCKETS = 256
 #: What a listed shingle costs, its list's comparisons included, where a subset's key costs 1.
 COMPARED = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
-WORDS_KEPT = 1 << 18
+WORDS_KEPT = 1 << 16
 
 
 def needed(s: int, t: int, percent: int) -> int:
@@ -100,7 +100,7 @@ def boundary(histogram: dict[int, int], percent: int) -> int:
 
 
 @lru_cache(1)
-def _word_hashes() -> Memo:
+def word_hashes() -> Memo:
     return Memo(xxhash.xxh64_intdigest, WORDS_KEPT, 64)
 
 
@@ -116,7 +116,7 @@ def shingles(text: str, n: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     size = min(n, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     with np.errstate(over="ignore"):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tenderloom.llm.common import text_or_empty
-from tenderloom.llm.ngram_join import MIX, _word_hashes, mix
+from tenderloom.llm.ngram_join import MIX, word_hashes, mix
 from tenderloom.session import cut_lineage
 
 LENGTH = 35
@@ -39,7 +39,7 @@ def split(text: str) -> list[bytes]:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
 
 
 def double(g: np.ndarray, size: int, to: int) -> np.ndarray:
