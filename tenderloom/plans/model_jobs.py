@@ -21,6 +21,8 @@ AXES = Domain.FRAME_AXES
 PENALTY = Domain.FRAME_PENALTY
 Z = [f"z_{v}" for v in FRAME]
 METRICS = ["groups", "silhouette", "davies_bouldin", "calinski_harabasz", "ari_category", "ari_quartile", "entropy", "coverage"]
+#: Group counts of the random baselines.
+BASELINES = range(2, 21)
 MIXED = {"axes": AXES, "category": "modality", "mismatch": PENALTY}
 
 
@@ -34,31 +36,40 @@ def prepared(d: Domain) -> tuple[DataFrame, list[str]]:
     return encoded, Z + [f"is_{i}" for i in range(len(known))]
 
 
-def _sizes(labelled: DataFrame, algorithm: str) -> DataFrame:
+def _sizes(labelled: DataFrame, algorithm: str, converged: bool | None = None) -> DataFrame:
     return labelled.groupBy("cluster").agg(F.count("*").alias("size"), F.min("ocid").alias("first_ocid")).select(
-        F.lit(algorithm).alias("algorithm"), "cluster", "size", "first_ocid"
+        F.lit(algorithm).alias("algorithm"), "cluster", "size", "first_ocid", F.lit(converged).cast("boolean").alias("converged")
     )
 
 
+def _fitted(fit: clustering.Fit, rows: DataFrame) -> DataFrame:
+    return _sizes(fit.apply(rows), fit.algorithm, fit.converged)
+
+
+def options() -> dict:
+    """What each family needs to know of the frame; all else is as the operators have it."""
+    return {"kprototypes": {"columns": Z, "category": "modality"}, "kmedoids": MIXED, "hierarchical": MIXED, "density": MIXED}
+
+
 @job("kmeans")
 def kmeans(d: Domain) -> DataFrame:
     """Five groups on scaled and encoded variables, best of restarts."""
     rows, encoded = prepared(d)
-    return _sizes(clustering.kmeans(rows, 5, encoded, restarts=3).apply(rows), "kmeans")
+    return _fitted(clustering.kmeans(rows, 5, encoded), rows)
 
 
 @job("kprototypes")
 def kprototypes(d: Domain) -> DataFrame:
     """Five prototypes on mixed variables."""
     rows, _ = prepared(d)
-    return _sizes(clustering.kprototypes(rows, "ocid", 5, Z, "modality", restarts=2).apply(rows), "kprototypes")
+    return _fitted(clustering.kprototypes(rows, "ocid", 5, Z, "modality"), rows)
 
 
 @job("kmedoids")
 def kmedoids(d: Domain) -> DataFrame:
     """Four real tenders as centres under the mixed distance."""
     rows, _ = prepared(d)
-    return _sizes(clustering.kmedoids(rows, "ocid", 4, **MIXED).apply(rows), "kmedoids")
+    return _fitted(clustering.kmedoids(rows, "ocid", 4, **MIXED), rows)
 
 
 @job("gaussian_mixture")
@@ -66,18 +77,18 @@ def gaussian_mixture(d: Domain) -> DataFrame:
     """Group counts compared by information criterion."""
     rows, encoded = prepared(d)
     parts = []
-    for k in (3, 5):
-        fit = clustering.gaussian_mixture(rows, k, encoded, restarts=1)
-        parts.append(_sizes(fit.apply(rows), "gmm").withColumn("k", F.lit(k)).withColumn("bic", F.round(F.lit(fit.score), 2)))
+    for k in fixed.K_RANGE:
+        fit = clustering.gaussian_mixture(rows, k, encoded)
+        parts.append(_fitted(fit, rows).withColumn("k", F.lit(k)).withColumn("bic", F.round(F.lit(fit.score), 2)))
     return reduce(DataFrame.unionByName, parts)
 
 
 @job("average_linkage")
 def average_linkage(d: Domain) -> DataFrame:
-    """Average linkage cut at three and five groups."""
+    """Average linkage cut at every group count."""
     rows, _ = prepared(d)
-    fits = clustering.average_linkage(rows, "ocid", [3, 5], **MIXED)
-    parts = [_sizes(f.apply(rows), "hierarchical").withColumn("k", F.lit(k)) for k, f in sorted(fits.items())]
+    fits = clustering.average_linkage(rows, "ocid", list(fixed.K_RANGE), **MIXED)
+    parts = [_fitted(f, rows).withColumn("k", F.lit(k)) for k, f in sorted(fits.items())]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -92,7 +103,7 @@ def dbscan(d: Domain) -> DataFrame:
 def density_choice(d: Domain) -> DataFrame:
     """Best density partition over radii from the tenth-neighbour distance."""
     rows, _ = prepared(d)
-    fit = clustering.density(rows, "ocid", **MIXED, pcts=(10, 20))
+    fit = clustering.density(rows, "ocid", **MIXED)
     if fit is None:
         return _sizes(rows.withColumn("cluster", F.lit(-1).cast("long")), "density")
     return _sizes(fit.labels, "density")
@@ -100,20 +111,18 @@ def density_choice(d: Domain) -> DataFrame:
 
 @job("model_comparison")
 def model_comparison(d: Domain) -> DataFrame:
-    """Families swept over k, every partition judged under the same rules.
+    """Families swept over k, every partition judged under the same rules, beside the random baselines.
 
     Each candidate is measured by its own jobs and leaves one report row.
     """
     rows, encoded = prepared(d)
     rows = cut_lineage(prepare.quartile_bins(rows, [], "log_budget"))
-    options = {
-        "kmeans": {"restarts": 1},
-        "kprototypes": {"columns": Z, "category": "modality", "restarts": 1, "max_iter": 10},
-        "kmedoids": {**MIXED, "max_iter": 4},
-        "hierarchical": MIXED,
+    fits, failures = clustering.sweep(rows, "ocid", encoded, fixed.ALGORITHMS, fixed.K_RANGE, options())
+    # A density partition has a group count of its own.
+    random = {
+        k: gower.silhouette(sampling.random_labels(rows, "ocid", k), [], "ocid", "cluster", list(range(k)), **MIXED).first()["silhouette"]
+        for k in sorted({*BASELINES, *(k for _, k in fits)})
     }
-    fits, failures = clustering.sweep(rows, "ocid", encoded, list(options), [3], options)
-    random = gower.silhouette(sampling.random_labels(rows, "ocid", 3), [], "ocid", "cluster", [0, 1, 2], **MIXED).first()
     names = sorted(r[0] for r in rows.select("modality").distinct().collect())
     trivial = rows.withColumn("cluster", F.array_position(F.array(*map(F.lit, names)), F.col("modality")) - 1)
     category = gower.silhouette(trivial, [], "ocid", "cluster", list(range(len(names))), **MIXED).first()
@@ -123,26 +132,37 @@ def model_comparison(d: Domain) -> DataFrame:
         m = metrics.evaluate(
             labelled, [], "ocid", "cluster", list(range(k)), encoded, "modality", "quartile", axes=AXES, mismatch=PENALTY
         ).first()
-        report.append((algorithm, k, *[m[c] for c in METRICS], random["silhouette"], category["silhouette"]))
-    report += [(a, k, *[None] * (len(METRICS) + 2)) for a, k, _ in failures]
-    columns = ["algorithm string", "k int", "groups long", *[f"{c} double" for c in METRICS[1:]],
+        report.append((algorithm, k, fit.converged, *[m[c] for c in METRICS], random[k], category["silhouette"]))
+    report += [(a, k, None, *[None] * (len(METRICS) + 2)) for a, k, _ in failures]
+    columns = ["algorithm string", "k int", "converged boolean", "groups long", *[f"{c} double" for c in METRICS[1:]],
                "random_baseline double", "category_baseline double"]
     judged = selection.disqualify(d.spark.createDataFrame(report, ", ".join(columns)))
-    return judged.select(
-        "algorithm", "k", "groups", *[F.round(c, 6).alias(c) for c in METRICS[1:]], "disqualified", "reasons"
+    found = judged.select(
+        "algorithm", "k", "converged", "groups", *[F.round(c, 6).alias(c) for c in METRICS[1:]], "disqualified", "reasons"
     )
+    drawn = d.spark.createDataFrame([("random", k, k, random[k]) for k in BASELINES], "algorithm string, k int, groups long, silhouette double")
+    return found.unionByName(drawn.withColumn("silhouette", F.round("silhouette", 6)), allowMissingColumns=True)
 
 
 @job("stability")
 def stability(d: Domain) -> DataFrame:
-    """Agreement between a partition and refits on 80 % subsamples."""
+    """Agreement of each family's partition with refits on 80 % subsamples."""
     rows, encoded = prepared(d)
-    reference = clustering.kmeans(rows, 4, encoded, restarts=2).apply(rows)
-
-    def refit(part: DataFrame) -> DataFrame:
-        return clustering.kmeans(part, 4, encoded, restarts=2).apply(part)
-
-    return clustering.stability(rows, "ocid", reference, refit, repeats=3)
+    parts = []
+    for algorithm in fixed.ALGORITHMS:
+        settled = []
+
+        def partition(part: DataFrame, algorithm=algorithm, settled=settled) -> DataFrame:
+            fit = clustering.fit(algorithm, part, "ocid", 4, encoded, **options().get(algorithm, {}))
+            if fit is None:  # no usable radius: all noise
+                return part.withColumn("cluster", F.lit(-1).cast("long"))
+            settled.append(fit.converged)
+            return fit.apply(part)
+
+        scores = cut_lineage(clustering.stability(rows, "ocid", partition(rows), partition))
+        unsettled = F.lit(sum(s is False for s in settled)).alias("not_converged")
+        parts.append(scores.select(F.lit(algorithm).alias("algorithm"), "*", unsettled))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @job("assign_new_rows")
@@ -151,10 +171,10 @@ def assign_new_rows(d: Domain) -> DataFrame:
     rows, encoded = prepared(d)
     dated = cut_lineage(rows.join(d.tenders().select("ocid", "source_year"), "ocid"))
     old, new = dated.filter(F.col("source_year") < "2000"), dated.filter(F.col("source_year") >= "2000")
-    centroid = clustering.kmeans(old, 4, encoded, restarts=2)
-    medoid = clustering.kmedoids(old, "ocid", 4, max_iter=4, **MIXED)
+    centroid = clustering.kmeans(old, 4, encoded)
+    medoid = clustering.kmedoids(old, "ocid", 4, **MIXED)
     by_empirical = clustering.assign_new(new, medoid.apply(old), Z, eps=2.5)
-    parts = [_sizes(centroid.apply(new), "kmeans"), _sizes(medoid.apply(new), "kmedoids"), _sizes(by_empirical, "empirical")]
+    parts = [_fitted(centroid, new), _fitted(medoid, new), _sizes(by_empirical, "empirical", medoid.converged)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -165,11 +185,11 @@ def frozen_on_other_key(d: Domain) -> DataFrame:
     ids = [p["supplier_id"] for p in d.portfolio()]
     other = m.filter(F.col("supplier_id") == ids[-1])
     rows = cut_lineage(prepare.scale(other, prepare.fit_scaling(other, []), []))
-    fit = clustering.kmedoids(rows, "ocid", 3, max_iter=4)
+    fit = clustering.kmedoids(rows, "ocid", 3)
     centres = [(int(c["cluster"]), int(c["ocid"])) for c in fit.centres]
     medoids = d.spark.createDataFrame(centres, "cluster long, ocid_medoid long")
     p = selection.group_profile(fit.apply(rows), "cluster", fixed.NUMERIC, "modality", medoids=medoids)
-    return p.withColumn("supplier_id", F.lit(ids[-1]))
+    return p.withColumn("supplier_id", F.lit(ids[-1])).withColumn("converged", F.lit(fit.converged))
 
 
 @job("isolation_global")
@@ -209,7 +229,7 @@ def fit_portfolio_model(d: Domain, k: int = 3, trees: int = 100) -> tuple[Frozen
     train = m.filter(F.col("supplier_id") == best)
     scaling = prepare.fit_scaling(train, [])
     rows = cut_lineage(prepare.scale(train, scaling, []))
-    fit = clustering.kmedoids(rows, "ocid", k, max_iter=6)
+    fit = clustering.kmedoids(rows, "ocid", k)
     ids = [c["ocid"] for c in fit.centres]
     found = {r["ocid"]: r.asDict() for r in rows.filter(F.col("ocid").isin(ids)).collect()}
     medoids = [{**found[c["ocid"]], "cluster": c["cluster"]} for c in fit.centres]
@@ -220,7 +240,7 @@ def fit_portfolio_model(d: Domain, k: int = 3, trees: int = 100) -> tuple[Frozen
     scored = outliers.score(encoded, "ocid", features, grown)
     cut = percentiles(scored, [], "score", {"cut": 1.0 - fixed.CONTAMINATION}).first()["cut"]
     params = {r["variable"]: (r["low"], r["high"], r["mean"], r["scale"], r["range"]) for r in scaling.collect()}
-    return FrozenModel(params, medoids, known, [t.asDict() for t in grown], cut), m
+    return FrozenModel(params, medoids, known, [t.asDict() for t in grown], cut, fit.converged), m
 
 
 @job("trained_answers")
@@ -229,4 +249,4 @@ def trained_answers(d: Domain) -> DataFrame:
     model, m = fit_portfolio_model(d)
     scored = cut_lineage(serving.mark_outliers(serving.score(m, model), model))
     flags = scored.groupBy("supplier_id").agg(F.count_if("outlier").alias("outliers"), F.count("*").alias("tenders"))
-    return serving.verdicts(serving.group_profiles(scored, model.medoids)).join(flags, "supplier_id")
+    return serving.verdicts(serving.group_profiles(scored, model.medoids)).join(flags, "supplier_id").withColumn("converged", F.lit(model.converged))
