@@ -48,7 +48,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    groups = ngram_join.join(docs, SHINGLE, PERCENT)
+    groups = ngram_join.join(docs, SHINGLE, PERCENT, counted=False)
     # Rows without an id have no group. Rows with the same id and text are one document.
     others = cut_lineage(groups.filter("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(broadcast_if_few(others), "doc_id", "left_anti").select(*docs.columns)

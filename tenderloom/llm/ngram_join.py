@@ -18,6 +18,10 @@ no further comparison. Only lists that still hold several components are compare
 components, and there the metric of Jaccard rules out pairs by their distances from the
 first set. All comparisons are exact, over whole sets. No list is cut.
 
+Links that the search for components didn't need are counted afterwards: linked sets are in one
+component, so each component's sets are held against each other, in parts of bounded size, and
+only the counts per set leave a part.
+
 Null and empty texts, and texts without a word, have an empty set and link with nothing; a null
 id is one of a kind: its rows are in the result, and link like others under the smallest id.
 Repeated rows are equal sets. Empty tables give no rows.
@@ -31,6 +35,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -48,6 +53,8 @@ LARGEST_SMALL = 48
 BUCKETS = 256
 #: What a listed shingle costs, its list's comparisons included, where a subset's key costs 1.
 COMPARED = 16
+#: Sets and shingles of a part of a component, about, and shingles held against each other at a time.
+PART_SETS, PART_SHINGLES, COLUMNS = 512, 1 << 19, 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 1 << 16
 
@@ -232,8 +239,73 @@ def _compare(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, "a long, b long, overlap int")
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, n_links (links of its set to other sets found)."""
+def linking(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets xs link with which of ys; where both are the same list, none with itself."""
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (xs, ys)]
+    if xs is ys:
+        shared, held = np.unique(x, return_counts=True)
+        shared = shared[held > 1]
+    else:
+        shared = np.intersect1d(x, y)
+    overlap = np.zeros((len(xs), len(ys)))
+    if len(shared):
+        sides = []
+        for keys, lengths in zip((x, y), sizes):
+            at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+            ok = shared[at] == keys
+            at, owner = at[ok], np.repeat(np.arange(len(lengths)), lengths)[ok]
+            order = np.argsort(at, kind="stable")
+            sides.append((at[order], owner[order], len(lengths)))
+        for start in range(0, len(shared), COLUMNS):
+            width = min(COLUMNS, len(shared) - start)
+            dense = []
+            for at, owner, n in sides:
+                lo, hi = np.searchsorted(at, [start, start + width])
+                table = np.zeros((n, width), np.float32)
+                table[owner[lo:hi], at[lo:hi] - start] = 1
+                dense.append(table)
+            overlap += dense[0] @ dense[1].T
+    found = 100 * overlap >= percent * (sizes[0][:, None] + sizes[1][None] - overlap)
+    if xs is ys:
+        np.fill_diagonal(found, False)
+    return found
+
+
+def link_counts(joined: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """node, n_links: how many other sets each set links with; joined holds all sets that link (node, component)."""
+    sized = stored.join(broadcast_if_few(joined), F.col("doc_id") == F.col("node")).select("node", "component", "shingles")
+    weight = F.octet_length("shingles") / 8
+    parts = F.ceil(F.greatest(F.count("*") / PART_SETS, F.sum(weight) / PART_SHINGLES)).cast("int")
+    several = sized.groupBy("component").agg(parts.alias("parts")).filter("parts > 1")
+    total = sized.agg(F.sum(weight)).first()[0] or 0
+    # Small components share a task, a large one is dealt in pairs of parts.
+    placed = sized.join(broadcast_if_few(cut_lineage(several)), "component", "left")
+    dealt = placed.withColumn("large", F.col("parts").isNotNull()).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = F.when(F.col("large"), F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(int(total // PART_SHINGLES) + 1)))
+    dealt = dealt.select("large", group.alias("g"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "component", "mine", "node", "shingles")
+
+    def work(rows):
+        ids, counts = [], []
+        for _, each in rows.groupby("component"):
+            i, j = each["i"].iloc[0], each["j"].iloc[0]
+            sides = [each[each["mine"] == k] for k in ((i,) if i == j else (i, j))]
+            if not all(map(len, sides)):
+                continue
+            sets_of = [[np.frombuffer(b, np.uint64) for b in side["shingles"]] for side in sides]
+            found = linking(sets_of[0], sets_of[-1], percent)
+            for axis, side in zip((1, 0), sides):
+                ids.append(side["node"].to_numpy())
+                counts.append(found.sum(axis=axis))
+        return pd.DataFrame({"node": np.concatenate(ids) if ids else np.zeros(0, np.int64), "n": np.concatenate(counts).astype(np.int64) if ids else np.zeros(0, np.int64)})
+
+    found = dealt.groupBy("large", "g", "i", "j").applyInPandas(work, "node long, n long")
+    return found.groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def join(docs: DataFrame, n: int = 3, percent: int = 90, counted: bool = True) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id and, if counted, n_links (how many different other sets its set links with)."""
     docs = docs.select("doc_id", "text")
     every = cut_lineage(sets(docs, n, percent))
     # Equal sets are one, under their smallest id.
@@ -281,7 +353,9 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     more = _compare(cross.select("a", "b"), stored, percent).join(cross, ["a", "b"]).filter(similar(F.col("overlap"), F.col("s"), F.col("t"))).select("a", "b")
     links = cut_lineage(links.union(more).distinct())
     joined = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = first.join(joined, first["first"] == joined["node"], "left").drop("node").join(degree, F.col("first") == F.col("node"), "left")
-    named = named.select("name", F.coalesce("component", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return every.drop("some").join(named, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = first.join(joined, first["first"] == joined["node"], "left").drop("node")
+    if counted:
+        named = named.join(link_counts(joined, stored, percent), F.col("first") == F.col("node"), "left")
+    named = named.select("name", F.coalesce("component", "first").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []))
+    made = every.drop("some").join(named, "name", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return made.select("doc_id", "n_shingles", "component_id", *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []))

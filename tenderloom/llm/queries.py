@@ -173,7 +173,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @job
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.join(table(spark, folder, "documents"), counted=False).select("doc_id", "n_shingles", "component_id")
 
 
 CHECKS["op4_ngram_join"] = """
@@ -201,6 +201,32 @@ FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
 
+@job
+def op4_ngram_links(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "n_links")
+
+
+CHECKS["op4_ngram_links"] = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(
+    CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - 2, 1) + 1) END,
+    lambda i: array_to_string(w[i:i + 2], ' ')))) AS s
+  FROM words
+), named AS (SELECT s, min(doc_id) AS id FROM sets GROUP BY s),
+shingles AS (SELECT id, len(s) AS n, unnest(s) AS shingle FROM named),
+pairs AS (
+  SELECT a.id AS a, b.id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.id <> b.id
+  GROUP BY a.id, b.id
+), links AS (SELECT a, count(*) AS n_links FROM pairs WHERE 100 * common >= 90 * (n + m - common) GROUP BY a)
+SELECT doc_id, coalesce(n_links, 0)::BIGINT AS n_links FROM sets JOIN named USING (s) LEFT JOIN links ON a = id
+"""
+
+
 @job
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = substring_dedup.repeats(table(spark, folder, "documents"), "doc_id", "text")
