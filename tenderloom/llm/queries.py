@@ -254,7 +254,8 @@ FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
 @job
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    made = secrets.scan(docs, "doc_id", "text", "source", "source")
+    # The table names no repositories, so each document is one.
+    made = secrets.scan(docs, "doc_id", "text", "doc_id", "source")
     base = F.col("base")
     return made.select(
         "doc_id",

@@ -3,7 +3,7 @@
 Base kinds are patterns with a length check. The method adds further candidates: formats of
 known providers and random-looking values in credentials' places. Every candidate's hash is
 counted over the whole corpus by distinct repositories and owners: a value that more than
-WIDE owners hold is a copied example, any other is one owner's and looks live. Added candidates
+WIDE owners, or repositories, hold is a copied example, any other is one owner's and looks live. Added candidates
 count only if they look live; base spans stay, and are told apart in n_live.
 
 Null and empty texts have no spans. Null repositories and owners are one of their own. A value
@@ -21,7 +21,7 @@ from tenderloom.session import cut_lineage
 
 KINDS = ["assign", "access", "hex", "provider", "private", "url", "bearer"]
 BASE = 3
-#: A value that more owners than this hold is an example.
+#: A value that more owners, or more repositories, than this hold is an example.
 WIDE = 2
 #: Different characters that an added candidate needs, to look random.
 VARIETY = 8
@@ -33,7 +33,7 @@ PATTERNS = [
     r"[0-9a-f]{24,}",
     r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})",
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}",
-    r"://[^\s/:@]{1,80}:[^\s/@]{6,80}(?=@)",
+    r"://[^\s/:@]{1,80}:[^\s/@]{6,}(?=@)",
     r"(?i:bearer|authorization:)\x20{1,3}[A-Za-z0-9._~+/-]{20,}",
 ]
 
@@ -81,7 +81,7 @@ def scan(docs: DataFrame, key: str, text: str, repository: str, owner: str) -> D
     some = found.filter(F.size("found") > 0)
     owned = ownership(some, "repository", "owner")
     each = some.select("row", F.explode("found").alias("span")).withColumn("name", value_name(F.col("span")))
-    judged = each.join(owned, "name").select("row", "span", (F.col("owners") <= WIDE).alias("live"))
+    judged = each.join(owned, "name").select("row", "span", ((F.col("owners") <= WIDE) & (F.col("repositories") <= WIDE)).alias("live"))
     order = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
     kept = judged.filter((F.col("span.kind") < BASE) | F.col("live")).withColumn("span", order(F.col("span")))
     per_row = kept.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("all"), F.count_if((F.col("span.kind") < BASE) & F.col("live")).alias("n_live"))

@@ -73,3 +73,18 @@ def test_ownership_separates_examples_from_live_values(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secrets.scan(df, "doc_id", "text", "source", "source").count() == 0
+
+
+def test_an_owners_example_in_many_repositories(spark):
+    value = "ghp_Ab3dEf6hIj9lMn2pQr5tUv8xYz1C4e7G0iKm"
+    rows = [(i, f"x {value}", f"r{i}", "o") for i in range(6)] + [(9, f"x {value[::-1]} token = abcdef99", "r", "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    got = {r.doc_id: r for r in secrets.scan(df, "doc_id", "text", "repo", "owner").collect()}
+    assert all(not got[i]["all"] for i in range(6)) and got[9].n_live == 1
+
+
+def test_long_password_in_url(spark):
+    text = "see https://user:" + "aB3dE5gH7j" * 20 + "@host/x"
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    (r,) = secrets.scan(df, "doc_id", "text", "source", "source").collect()
+    assert [(s.kind, s.start, s.end) for s in r["all"]] == [(5, text.index(":"), text.index("@"))]
