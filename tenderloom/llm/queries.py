@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, chat, ngram_join, packing, pii, quality, secrets, sketch, spans, substring_dedup, toxicity
+from tenderloom.llm import bpe, chat, maxscore, ngram_join, packing, pii, quality, rtree, secrets, sketch, spans, substring_dedup, toxicity
 from tenderloom.llm.common import table, text_or_empty
 from tenderloom.session import parallelism
 
@@ -278,3 +278,53 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(spans.listing(base, pii.KINDS), 256).alias("base_sha256"),
         spans.listing(F.col("all"), pii.KINDS).alias("spans"),
     )
+
+
+#: Rows of embeddings that ask, as its queries say.
+ASKING = F.col("vec_id") % 50 == 0
+
+
+@job
+def op11_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    return maxscore.top(table(spark, folder, "embeddings"), "vec_id", "embedding", ASKING, 5)
+
+
+#: Usable rows of embeddings as integers, and the inner product of a.x and b.x.
+VECTORS_SQL = """v AS (
+  SELECT vec_id, label, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+PRODUCT_SQL = "coalesce(list_sum(list_transform(list_zip(a.x, b.x), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::BIGINT"
+
+CHECKS["op11_maxscore"] = f"""
+WITH {VECTORS_SQL}, scored AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, {PRODUCT_SQL} AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@job
+def op13_rtree(spark: SparkSession, folder: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(table(spark, folder, "embeddings"), "vec_id", "embedding", noisy, ASKING)
+
+
+CHECKS["op13_rtree"] = f"""
+WITH {VECTORS_SQL}, noisy AS (
+  SELECT vec_id, r, x, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL
+), scored AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same, {PRODUCT_SQL} AS score
+  FROM noisy a JOIN noisy b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT r, anchor_id, other, vec_id, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  row_number() OVER (PARTITION BY p.r, p.other ORDER BY n.score DESC, n.vec_id NULLS LAST, n.other)::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.r = p.r AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
