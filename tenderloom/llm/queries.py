@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, chat, maxscore, ngram_join, packing, pii, quality, rtree, secrets, sketch, spans, substring_dedup, toxicity
+from tenderloom.llm import bpe, chat, maxscore, ngram_join, packing, pii, quality, rtree, secrets, sketch, spans, substring_dedup, toxicity, trie
 from tenderloom.llm.common import table, text_or_empty
 from tenderloom.session import parallelism
 
@@ -328,3 +328,49 @@ SELECT p.anchor_id, p.vec_id AS positive_id,
 FROM positives p JOIN scored n ON n.r = p.r AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
 QUALIFY rank <= 3
 """
+
+
+@job
+def op12_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+
+
+CHECKS["op12_trie"] = """
+WITH ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS donor,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, y: CASE WHEN y >= 0 THEN xor(crc, y) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered)
+), turns AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.donor AND o.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.pos > c.h
+), rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, md5(strlen(role) || ':' || role || text) AS turn,
+    len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words
+  FROM turns
+), paths AS (
+  SELECT conv_id, depth, words, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), lengths AS (SELECT conv_id, max(depth) AS length FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256
+  FROM paths JOIN lengths USING (conv_id) GROUP BY path, depth
+), linked AS (
+  SELECT n.*, p.path AS parent_path, p.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN nodes p ON n.depth = p.depth + 1 AND left(n.path, 32 * p.depth) = p.path AND n.depth > 0
+), children AS (SELECT parent_path AS path, count(*) AS n_children FROM linked WHERE parent_path IS NOT NULL GROUP BY 1),
+subtree AS (
+  SELECT a.path, sum(CASE WHEN c.path IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM nodes n JOIN paths a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN children c ON c.path = n.path GROUP BY a.path
+)
+SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, l.ends_sha256
+FROM linked l LEFT JOIN children c ON c.path = l.path JOIN subtree s ON s.path = l.path
+"""
