@@ -22,9 +22,16 @@ Links that the search for components didn't need are counted afterwards: linked
 component, so each component's sets are held against each other, in parts of bounded size, and
 only the counts per set leave a part.
 
-Null and empty texts, and texts without a word, have an empty set and link with nothing; a null
-id is one of a kind: its rows are in the result, and link like others under the smallest id.
-Repeated rows are equal sets. Empty tables give no rows.
+Frequencies that lists are ordered by come from one shingle in `sampled`, over all documents. Where
+lists come out longer than LONG_LIST, all shingles of their sets are counted, the frequent ones
+are moved to the end of the order, and every set that listed one of them is listed anew: a common
+passage of which no shingle had been counted heads no list afterwards. Any order is exact.
+
+Null and empty texts, and texts without a word, have an empty set and link with nothing. Sets are
+told apart by a digest, not by ids: rows with a null id link like others, and rows that share an
+id are judged each by its own text. A component is named by its smallest id; one without any id
+has none, and its rows and those without a set are named by their own id. Repeated rows are equal
+sets. Empty tables give no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -57,6 +64,8 @@ COMPARED = 16
 PART_SETS, PART_SHINGLES, COLUMNS = 512, 1 << 19, 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 1 << 16
+#: Sets in a list beyond which all shingles of its sets are counted.
+LONG_LIST = 32
 
 
 def needed(s: int, t: int, percent: int) -> int:
@@ -143,33 +152,46 @@ def _per_document(docs: DataFrame, schema: str, of, names: list[str], kinds: lis
     return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(work, schema)
 
 
+def name_of(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set (null if empty) and its sampled shingles."""
+    """doc_id, n_shingles, a 128-bit name of the set (null if empty), the text's MD5 and the sampled shingles."""
     one_in = np.uint64(sampled(percent))
 
     def of(text):
         s = shingles(text, n)
-        name = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-        return len(s), name, s[s % one_in == 0].view(np.int64)
+        return len(s), name_of(s), hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), s[s % one_in == 0].view(np.int64)
 
-    schema = "doc_id long, n_shingles long, name binary, some array<long>"
-    return _per_document(docs, schema, of, ["n_shingles", "name", "some"], [pa.int64(), pa.binary(), pa.list_(pa.int64())])
+    schema = "doc_id long, n_shingles long, name binary, digest binary, some array<long>"
+    return _per_document(docs, schema, of, ["n_shingles", "name", "digest", "some"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())])
 
 
-def _frequencies(every: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Sampled shingles that occur in several documents, sorted, the logarithms of their counts,
-    and whether these are all such shingles."""
-
-    counted = every.select(F.explode("some").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    several = cut_lineage(counted.filter("n > 1"))
-    above = {r.k: r["count"] for r in several.groupBy(F.ceil(F.log2("n")).cast("int").alias("k")).count().collect()}
+def _levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Keys of counted (key, n), sorted, the logarithms of n, and whether these are all: the most frequent, at most KNOWN."""
+    several = cut_lineage(counted.select("key", F.ceil(F.log2("n")).cast("byte").alias("k")))
+    above = {r.k: r["count"] for r in several.groupBy("k").count().collect()}
     least = min((k for k in range(65) if sum(c for j, c in above.items() if j >= k) <= KNOWN), default=65)
-    table = several.filter(F.ceil(F.log2("n")) >= least).select("key", F.ceil(F.log2("n")).cast("byte").alias("k")).toArrow()
+    table = several.filter(F.col("k") >= least).toArrow()
     keys, k = table["key"].to_numpy().view(np.uint64), table["k"].to_numpy()
     order = np.argsort(keys)
     return keys[order], k[order].astype(np.uint8), least <= 1
 
 
+def _frequencies(every: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sampled shingles that occur in several documents, as _levels has them."""
+    return _levels(every.select(F.explode("some").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+
+
+def _later(order: tuple, more: tuple) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The order with further keys; those it has stay where they are."""
+    new = ~np.isin(more[0], order[0])
+    keys = np.concatenate([order[0], more[0][new]])
+    at = np.argsort(keys)
+    return keys[at], np.concatenate([order[1], more[1][new]])[at], order[2]
+
+
 def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, known: bool, most: int, percent: int) -> np.ndarray:
     """All keys of a set: hashes of subsets and of listed shingles.
 
@@ -184,26 +206,50 @@ def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, known: bool, mo
                 drop = np.array([s[list(c)].sum(dtype=np.uint64) for c in combinations(range(size), size - o)], np.uint64)
                 out.append(mix((whole - drop) ^ np.uint64(o * 2 + 1)))
     if size >= percent * (most + 1) / 100:
-        counted = np.flatnonzero(s % np.uint64(sampled(percent)) == 0)
-        rank = np.ones(size, np.uint8)  # not counted: after the rare ones
-        rank[counted] = 0
+        # Not counted: after the rare ones.
+        rank = np.where(s % np.uint64(sampled(percent)) == 0, 0, 1).astype(np.uint8)
         if len(keys):
-            at = np.minimum(np.searchsorted(keys, s[counted]), len(keys) - 1)
-            rank[counted] = np.where(keys[at] == s[counted], logs[at] + 1, 0)
+            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+            rank = np.where(keys[at] == s, logs[at] + 1, rank)
         # The set is sorted and the sort is stable: by rank, then by hash.
         first = np.argsort(rank, kind="stable")[: listed(size, percent)]
         out.append(s[first[rank[first] > 0] if known else first])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _signatures(docs: DataFrame, every: DataFrame, n: int, percent: int, most: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(every))
+def _signatures(docs: DataFrame, order: tuple, n: int, percent: int, most: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def of(text):
         s = shingles(text, n)
-        return len(s), signature(s, *shared.value, most, percent).view(np.int64).tolist()
+        return name_of(s), len(s), signature(s, *shared.value, most, percent).view(np.int64).tolist()
+
+    return _per_document(docs, "doc_id long, name binary, size int, keys array<long>", of, ["name", "size", "keys"], [pa.binary(), pa.int32(), pa.list_(pa.int64())])
+
 
-    return _per_document(docs, "doc_id long, size int, keys array<long>", of, ["size", "keys"], [pa.int32(), pa.list_(pa.int64())])
+def _listed_anew(stored: DataFrame, order: tuple, percent: int, most: int) -> DataFrame:
+    """node, size and keys of stored sets (node, shingles) in another order."""
+    shared = stored.sparkSession.sparkContext.broadcast(order)
+
+    def work(batches):
+        for batch in batches:
+            sets = [np.frombuffer(b, np.uint64) for b in batch["shingles"].to_pylist()]
+            keys = [signature(s, *shared.value, most, percent).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
+
+    return stored.select("node", "shingles").mapInArrow(work, "node long, size int, keys array<long>")
+
+
+def _counted(stored: DataFrame) -> DataFrame:
+    """key and n of all shingles of stored sets that are in more than LONG_LIST of them."""
+
+    def work(batches):
+        for batch in batches:
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(b, np.uint64) for b in batch["shingles"].to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    every = stored.select("shingles").mapInArrow(work, "key long, n long")
+    return every.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > LONG_LIST)
 
 
 def buckets(s: np.ndarray) -> bytes:
@@ -221,12 +267,12 @@ def _promising(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
             alive = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
             yield batch.select(["a", "b"]).filter(pa.array(alive))
 
-    left, right = (stored.select(F.col("doc_id").alias(i), F.col("buckets").alias(s)) for i, s in (("a", "left"), ("b", "right")))
+    left, right = (stored.select(F.col("node").alias(i), F.col("buckets").alias(s)) for i, s in (("a", "left"), ("b", "right")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, "a long, b long")
 
 
 def _compare(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that can link, with their overlap, from the stored sets (id, shingles, buckets)."""
+    """Those of pairs (a, b) that can link, with their overlap, from the stored sets (node, shingles, buckets)."""
     pairs = cut_lineage(_promising(pairs, stored, percent))
 
     def work(batches):
@@ -235,7 +281,7 @@ def _compare(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
             overlap = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True)) for x, y in both]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(overlap, pa.int32())], ["a", "b", "overlap"])
 
-    left, right = (stored.select(F.col("doc_id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "left"), ("b", "right")))
+    left, right = (stored.select(F.col("node").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "left"), ("b", "right")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, "a long, b long, overlap int")
 
 
@@ -274,7 +320,7 @@ def linking(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> np.ndar
 
 def link_counts(joined: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     """node, n_links: how many other sets each set links with; joined holds all sets that link (node, component)."""
-    sized = stored.join(broadcast_if_few(joined), F.col("doc_id") == F.col("node")).select("node", "component", "shingles")
+    sized = stored.join(broadcast_if_few(joined), "node").select("node", "component", "shingles")
     weight = F.octet_length("shingles") / 8
     parts = F.ceil(F.greatest(F.count("*") / PART_SETS, F.sum(weight) / PART_SHINGLES)).cast("int")
     several = sized.groupBy("component").agg(parts.alias("parts")).filter("parts > 1")
@@ -304,58 +350,96 @@ def link_counts(joined: DataFrame, stored: DataFrame, percent: int) -> DataFrame
     return found.groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    """key, pivot (the first set, with its size) and n of the lists of several sets."""
+    # A repeated row of a set's first document is the same member.
+    lists = rows.groupBy("key").agg(F.min(F.struct("node", "size")).alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n"))
+    return lists.filter("pivot.node < last").select("key", "pivot", "n")
+
+
 def join(docs: DataFrame, n: int = 3, percent: int = 90, counted: bool = True) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id and, if counted, n_links (how many different other sets its set links with)."""
+    """Per document: doc_id, n_shingles, component_id, digest (of its text), component (a number; null without a set) and, if
+    counted, n_links (how many different other sets its set links with)."""
     docs = docs.select("doc_id", "text")
     every = cut_lineage(sets(docs, n, percent))
-    # Equal sets are one, under their smallest id.
-    first = cut_lineage(every.filter("name IS NOT NULL AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size")))
+    # Equal sets are one: a node, found again in its smallest id's row.
+    first = every.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"))
+    first = cut_lineage(first.withColumn("node", F.monotonically_increasing_id()))
     histogram = {r.s: r["count"] for r in first.groupBy(F.least("size", F.lit(2 * LARGEST_SMALL)).alias("s")).count().collect()}
     most = boundary(histogram, percent)
-    keys = _signatures(docs, every, n, percent, most).join(first.select(F.col("first").alias("doc_id")), "doc_id")
-    rows = cut_lineage(keys.select("doc_id", "size", F.explode("keys").alias("key")))
-    # A repeated row of a first document is the same member.
-    lists = rows.groupBy("key").agg(F.min(F.struct("doc_id", "size")).alias("pivot"), F.max("doc_id").alias("last")).filter("pivot.doc_id < last")
-    members = cut_lineage(rows.join(lists.select("key", "pivot"), "key").select("key", "doc_id", "size", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
-    involved = cut_lineage(members.select("doc_id").distinct())
-    raw = docs.join(broadcast_if_few(involved), "doc_id")
+    order = _frequencies(every)
+
+    def of_first(made: DataFrame) -> DataFrame:
+        return made.join(first.select("name", "first", "node"), "name").filter(F.col("doc_id").eqNullSafe(F.col("first"))).drop("doc_id", "name", "first")
 
     def whole(text):
         s = shingles(text, n)
-        return s.tobytes(), buckets(s)
-
-    kept = _per_document(raw, "doc_id long, shingles binary, buckets binary", whole, ["shingles", "buckets"], [pa.binary(), pa.binary()])
-    # Only a document that is in the table twice is here twice.
-    once = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    stored = cut_lineage(kept if once else kept.dropDuplicates(["doc_id"]))
+        return name_of(s), s.tobytes(), buckets(s)
+
+    def stored_sets(nodes: DataFrame) -> DataFrame:
+        ids = broadcast_if_few(cut_lineage(first.join(nodes, "node").select(F.col("first").alias("id")).distinct()))
+        raw = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        kept = _per_document(raw, "doc_id long, name binary, shingles binary, buckets binary", whole, ["name", "shingles", "buckets"], [pa.binary()] * 3)
+        kept = of_first(kept).join(nodes, "node", "left_semi")
+        # Only a row that is in the table twice is here twice.
+        return cut_lineage(kept if once else kept.dropDuplicates(["node"]))
+
+    def with_missing(stored: DataFrame, nodes: DataFrame) -> DataFrame:
+        missing = cut_lineage(nodes.join(stored.select("node"), "node", "left_anti"))
+        return stored if missing.isEmpty() else stored.union(stored_sets(missing))
+
+    once = every.groupBy("doc_id", "name").count().filter("count > 1").isEmpty()
+    rows = cut_lineage(of_first(_signatures(docs, order, n, percent, most)).select("node", "size", F.explode("keys").alias("key")))
+    lists = cut_lineage(_members(rows))
+    stored = stored_sets(cut_lineage(rows.join(lists.select("key"), "key").select("node").distinct()))
+    long = lists.filter(F.col("n") > LONG_LIST).select("key")
+    crowded = cut_lineage(rows.join(long, "key").select("node").distinct())
+    if not crowded.isEmpty():
+        moved = cut_lineage(_counted(stored.join(broadcast_if_few(crowded), "node", "left_semi")))
+        more = _levels(moved)
+        # At most KNOWN keys of 8 bytes.
+        keys = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"key": more[0].view(np.int64)})))
+        changed = cut_lineage(rows.join(keys, "key").select("node").distinct())
+        stored = with_missing(stored, changed)
+        order = _later(order, more)
+        anew = _listed_anew(stored.join(broadcast_if_few(changed), "node", "left_semi"), order, percent, most).select("node", "size", F.explode("keys").alias("key"))
+        rows = cut_lineage(rows.join(broadcast_if_few(changed), "node", "left_anti").union(anew))
+        lists = cut_lineage(_members(rows))
+    members = cut_lineage(rows.join(lists.select("key", "pivot"), "key").select("key", "node", "size", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
+    stored = with_missing(stored, cut_lineage(members.select("node").distinct()))
 
     fits = lambda s, t: 100 * F.least(s, t) >= percent * F.greatest(s, t)
     similar = lambda o, s, t: 100 * o >= percent * (s + t - o)
     # Each set against the first of its lists, if sizes allow; the overlap is kept for the bound below.
     could = fits(F.col("size"), F.col("pivot_size"))
-    near = members.filter((F.col("doc_id") != F.col("pivot")) & could).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), "size", "pivot_size").distinct()
+    near = members.filter((F.col("node") != F.col("pivot")) & could).select(F.col("node").alias("a"), F.col("pivot").alias("b"), "size", "pivot_size").distinct()
     near = cut_lineage(_compare(near.select("a", "b"), stored, percent).join(near, ["a", "b"]))
     links = cut_lineage(near.filter(similar(F.col("overlap"), F.col("size"), F.col("pivot_size"))).select("a", "b"))
     joined = components(links)
 
     # Lists that still hold several components.
-    known = members.join(joined, members["doc_id"] == joined["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+    known = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    far = near.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), (1 - F.col("overlap") / (F.col("size") + F.col("pivot_size") - F.col("overlap"))).alias("far"))
-    rest = known.join(mixed, "key").join(far, ["doc_id", "pivot"], "left").withColumn("far", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("far")))
-    rest = cut_lineage(rest.select("key", "doc_id", "size", "component", "far"))
+    far = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("overlap") / (F.col("size") + F.col("pivot_size") - F.col("overlap"))).alias("far"))
+    rest = known.join(mixed, "key").join(far, ["node", "pivot"], "left").withColumn("far", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("far")))
+    rest = cut_lineage(rest.select("key", "node", "size", "component", "far"))
     x, y = rest.alias("x"), rest.alias("y")
     bound = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     apart = (F.col("x.component") < F.col("y.component")) & fits(F.col("x.size"), F.col("y.size")) & bound
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
-    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.size").alias("s"), F.col("y.size").alias("t")).distinct()
+    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("s"), F.col("y.size").alias("t")).distinct()
     cross = cut_lineage(cross)
     more = _compare(cross.select("a", "b"), stored, percent).join(cross, ["a", "b"]).filter(similar(F.col("overlap"), F.col("s"), F.col("t"))).select("a", "b")
     links = cut_lineage(links.union(more).distinct())
-    joined = components(links)
-    named = first.join(joined, first["first"] == joined["node"], "left").drop("node")
+    joined = cut_lineage(components(links))
+    least = first.join(joined, "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = joined.join(least, "component")
+    named = first.join(linked, "node", "left")
     if counted:
-        named = named.join(link_counts(joined, stored, percent), F.col("first") == F.col("node"), "left")
-    named = named.select("name", F.coalesce("component", "first").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []))
+        named = named.join(link_counts(joined, stored, percent), "node", "left")
+    extra = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []
+    named = named.select("name", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "node").alias("component"), *extra)
     made = every.drop("some").join(named, "name", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return made.select("doc_id", "n_shingles", "component_id", *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []))
+    if counted:
+        made = made.withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return made.select("doc_id", "n_shingles", "component_id", "digest", "component", *(["n_links"] if counted else []))

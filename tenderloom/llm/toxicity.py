@@ -12,7 +12,8 @@ hash of their id); scoring covers every document.
 
 Null and empty texts score nothing. Null labels are skipped; a document labelled twice is toxic
 if either label is. Without both labels the model marks nothing and rejects nothing. Rows are
-independent, so repeated rows get equal results; only the columns named are read.
+independent, so repeated rows get equal results. Columns of docs that have the names of results
+are replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenderloom.llm.bpe import Memo
-from tenderloom.llm.common import text_or_empty
+from tenderloom.llm.common import fresh, text_or_empty
 from tenderloom.llm.sketch import shingle_hashes
 from tenderloom.session import cut_lineage
 
@@ -73,14 +74,15 @@ class Severity:
 
 
 def severities(docs: DataFrame, model: Severity, text: str = "text") -> DataFrame:
-    """docs with expected_severity, grade (the likeliest), p_toxic and toxic."""
-    scored = docs.withColumn("score", model.score(text_or_empty(text)))
-    above = model.above(F.col("score"))
+    """docs with score, expected_severity, grade (the likeliest), p_toxic and toxic, in place of columns of these names."""
+    made = fresh(docs, "severity")
+    scored = docs.withColumn(made, model.score(text_or_empty(text)))
+    above = model.above(F.col(made))
     each = [1 - above[0], *(a - b for a, b in zip(above, above[1:])), above[-1]]
     best = F.greatest(*each)
     grade = F.coalesce(*(F.when(p == best, F.lit(k)) for k, p in enumerate(each)))
     expected = sum(above[1:], above[0])
-    return scored.withColumns({"expected_severity": expected, "grade": grade, "p_toxic": above[0], "toxic": above[0] >= 0.5})
+    return scored.withColumns({"score": F.col(made), "expected_severity": expected, "grade": grade, "p_toxic": above[0], "toxic": above[0] >= 0.5}).drop(made)
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:

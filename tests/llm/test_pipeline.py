@@ -90,11 +90,44 @@ def test_packing_covers_all(stages):
         assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:])) and own[-1][0] + own[-1][1] == own[-1][2]
 
 
+#: Names of columns that stages use beside a document's own.
+CLASHING = ["doc", "id", "name", "left", "kept", "new", "base", "loose", "found", "toxic", "score", "grade", "p_toxic", "severity", "set", "digest", "stays", "component", "node", "row", "key"]
+
+
+def clashing(spark, rows):
+    """Documents (id, text) with an extra column of each name, of several types."""
+    made = [(i, t, "en", "s", len(t or ""), *[f"{n}-{i}-{t}"[:40] if k % 2 else k + (i or 0) for k, n in enumerate(CLASHING)]) for i, t in rows]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} {'string' if k % 2 else 'long'}" for k, n in enumerate(CLASHING)))
+
+
+def extras(df, by):
+    return sorted((tuple(str(r[c]) for c in (by, *CLASHING)) for r in df.collect()))
+
+
+LONG = " ".join(f"w{i % 7000}" for i in range(9000))
+ODD = [(0, None), (1, ""), (2, "a b c"), (3, "a b c"), (4, LONG), (5, LONG + " more"), (6, "mail me@x.yz now"), (7, " ".join(["rep"] * 80)), (2, "a b c"), (None, None), (None, "z")]
+
+
+def test_each_stage_keeps_extra_columns(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = clashing(spark, ODD)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = corpus_pipeline.cut_lineage(stage(spark, docs, str(tmp_path)))
+        assert made.columns == docs.columns and made.dtypes == docs.dtypes
+        assert set(extras(made, "doc_id")) <= set(extras(docs, "doc_id"))
+        docs = made
+    assert {r.doc_id for r in docs.collect()} == {0, 1, 2, 4, 6, None} and docs.count() == 7
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, tmp_path):
+    near = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, near), (2, near + " y"), (2, "something of its own that no other document has"), (None, near + " z"), (None, "also of its own, without an id")]
+    made = corpus_pipeline.one_of_each(spark, clashing(spark, rows), str(tmp_path))
+    assert sorted(r.text for r in made.collect()) == sorted([near, rows[2][1], rows[4][1]])
+
+
 def test_nulls_repeats_extra_columns_and_empty(spark, tmp_path):
-    long = " ".join(f"w{i % 7000}" for i in range(9000))
-    texts = [None, "", "a b c", "a b c", long, long + " more", "mail me@x.yz now", " ".join(["rep"] * 80)]
-    rows = [(i, t, "en", "s", len(t or ""), "x", 1) for i, t in enumerate(texts)] + [(2, "a b c", "en", "s", 5, "x", 1), (None, None, None, None, None, None, None), (None, "z", None, None, None, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, toxic int")
+    df = clashing(spark, ODD)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
