@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 read again as the next one's docs. All but the last keep the columns of documents; n_chars
 follows the text. A stage begins by removing the temporary tables of the stage before, whose
 result is written by then.
+
+Columns beside doc_id, text and n_chars pass through unchanged, whatever their names: a stage holds
+the row in one column beside its own. Null and empty texts pass all stages but packing, where they
+are one piece with the end id. Rows without an id, and rows that share one, are judged by their own
+texts. Of equal or near texts the smallest id stays, of rows with the same id the first text in
+order; rows that are equal in id and text are one document. Ties and repeats are thus decided by
+values alone. An empty table stays empty, and long texts are read whole.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenderloom.llm import ngram_join, packing, pii, substring_dedup, toxicity
 from tenderloom.llm.common import broadcast_if_few
@@ -25,6 +32,11 @@ SHINGLE, PERCENT = 5, 80
 _left: list[str] = []
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """The whole row in one column, doc, beside its id and text, so that no name of a column matters."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
+
+
 def stage(f):
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,17 +54,22 @@ def stage(f):
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose severity model doesn't call them toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.severities(docs.withColumn("toxic_text", F.col("text")), model, "toxic_text").filter(~F.col("toxic")).select(*docs.columns)
+    return toxicity.severities(held(docs), model).filter(~F.col("toxic")).select("doc.*")
 
 
 @stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     groups = ngram_join.join(docs, SHINGLE, PERCENT, counted=False)
-    # Rows without an id have no group. Rows with the same id and text are one document.
-    others = cut_lineage(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(broadcast_if_few(others), "doc_id", "left_anti").select(*docs.columns)
-    return kept if docs.groupBy("doc_id").count().filter("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    # Of a component the first row by id and text stays; rows without an id come last.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    firsts = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("stays"))
+    gone = groups.join(firsts, "component").filter(order != F.col("stays")).select(F.col("doc_id").alias("id"), "digest").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("digest"))
+    kept = held(docs).join(broadcast_if_few(cut_lineage(gone)), same, "left_anti")
+    # Rows with the same id and text are one document.
+    once = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return (kept if once else kept.dropDuplicates(["doc_id", "text"])).select("doc.*")
 
 
 @stage
@@ -61,16 +78,16 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found, parts = substring_dedup.repeats(docs, "doc_id", "text")
     texts = found.filter("n_removed > 0").select("doc_id", "name", F.col("n_words") - F.col("n_removed")).distinct()
     changed = cut_lineage(texts.toDF("id", "name", "left").join(parts, "name", "left"))
-    both = docs.join(changed, docs["doc_id"].eqNullSafe(changed["id"]) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == changed["name"]), "left")
-    kept = both.filter("left IS NULL OR left > 0").withColumn("new", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.col("kept")))
-    return with_text(kept, docs.columns, F.col("new"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("name"))
+    kept = held(docs).join(changed, same, "left").filter("left IS NULL OR left > 0")
+    return with_text(kept, docs.columns, F.when(F.col("left").isNull(), F.col("text")).otherwise(F.col("kept")))
 
 
 @stage
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
     # Written once: the fit and the result read it.
-    found = cut_lineage(pii.candidates(docs, "text"))
+    found = cut_lineage(pii.candidates(held(docs), "text"))
     model = pii.fit(found)
     return with_text(found, docs.columns, pii.redact(F.col("text"), pii.selected(model)))
 
@@ -83,9 +100,10 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, keys, "length", WINDOW, UNIT).select(*keys, "doc_tokens", "sequence_id", "offset")
 
 
-def with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
-    made = docs.withColumn("text", text)
-    return made.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns) if "n_chars" in columns else made.select(*columns)
+def with_text(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of doc with another text, and n_chars as it has."""
+    new = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
+    return rows.withColumn("new", text).select(*(new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in columns))
 
 
 STAGES = [
