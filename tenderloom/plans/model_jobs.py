@@ -113,56 +113,40 @@ def density_choice(d: Domain) -> DataFrame:
 def model_comparison(d: Domain) -> DataFrame:
     """Families swept over k, every partition judged under the same rules, beside the random baselines.
 
-    Each candidate is measured by its own jobs and leaves one report row.
+    A family's models are fitted together; all candidates and baselines are then measured in one
+    job each, by model.
     """
     rows, encoded = prepared(d)
     rows = cut_lineage(prepare.quartile_bins(rows, [], "log_budget"))
     fits, failures = clustering.sweep(rows, "ocid", encoded, fixed.ALGORITHMS, fixed.K_RANGE, options())
-    # A density partition has a group count of its own.
-    random = {
-        k: gower.silhouette(sampling.random_labels(rows, "ocid", k), [], "ocid", "cluster", list(range(k)), **MIXED).first()["silhouette"]
-        for k in sorted({*BASELINES, *(k for _, k in fits)})
-    }
+    labelled = [f.apply(rows).withColumn("model", F.lit(i)) for i, f in enumerate(fits.values())]
+    judged = cut_lineage(reduce(DataFrame.unionByName, labelled)) if labelled else rows.limit(0).withColumns({"cluster": F.lit(0).cast("long"), "model": F.lit(0)})
+    groups = max([k for _, k in fits], default=2)
+    found = metrics.evaluate(judged, ["model"], "ocid", "cluster", list(range(groups)), encoded, "modality", "quartile", axes=AXES, mismatch=PENALTY)
+    # Baselines: random labels for every group count (a density partition has one of its own), and the category itself.
     names = sorted(r[0] for r in rows.select("modality").distinct().collect())
-    trivial = rows.withColumn("cluster", F.array_position(F.array(*map(F.lit, names)), F.col("modality")) - 1)
-    category = gower.silhouette(trivial, [], "ocid", "cluster", list(range(len(names))), **MIXED).first()
-    report = []
-    for (algorithm, k), fit in fits.items():
-        labelled = cut_lineage(fit.apply(rows))
-        m = metrics.evaluate(
-            labelled, [], "ocid", "cluster", list(range(k)), encoded, "modality", "quartile", axes=AXES, mismatch=PENALTY
-        ).first()
-        report.append((algorithm, k, fit.converged, *[m[c] for c in METRICS], random[k], category["silhouette"]))
-    report += [(a, k, None, *[None] * (len(METRICS) + 2)) for a, k, _ in failures]
-    columns = ["algorithm string", "k int", "converged boolean", "groups long", *[f"{c} double" for c in METRICS[1:]],
-               "random_baseline double", "category_baseline double"]
-    judged = selection.disqualify(d.spark.createDataFrame(report, ", ".join(columns)))
+    counts = sorted({*BASELINES, *(k for _, k in fits)})
+    base = [sampling.random_labels(rows, "ocid", k).withColumn("k", F.lit(k)) for k in counts]
+    base.append(rows.withColumn("cluster", (F.array_position(F.array(*map(F.lit, names)), F.col("modality")) - 1).cast("long")).withColumn("k", F.lit(0)))
+    base = cut_lineage(reduce(DataFrame.unionByName, [b.select("ocid", "modality", *AXES, "cluster", "k") for b in base]))
+    drawn = {r.k: r.silhouette for r in gower.silhouette(base, ["k"], "ocid", "cluster", list(range(max(*counts, len(names)))), **MIXED).collect()}
+    named = [(i, a, k, f.converged, drawn.get(k), drawn.get(0)) for i, ((a, k), f) in enumerate(fits.items())]
+    named += [(None, a, k, None, None, None) for a, k, _ in failures]
+    table = d.spark.createDataFrame(named, "model int, algorithm string, k int, converged boolean, random_baseline double, category_baseline double")
+    report = table.join(found.select("model", F.col("groups").cast("long").alias("groups"), *METRICS[1:]), "model", "left")
+    judged = selection.disqualify(report)
     found = judged.select(
         "algorithm", "k", "converged", "groups", *[F.round(c, 6).alias(c) for c in METRICS[1:]], "disqualified", "reasons"
     )
-    drawn = d.spark.createDataFrame([("random", k, k, random[k]) for k in BASELINES], "algorithm string, k int, groups long, silhouette double")
-    return found.unionByName(drawn.withColumn("silhouette", F.round("silhouette", 6)), allowMissingColumns=True)
+    baselines = d.spark.createDataFrame([("random", k, k, drawn.get(k)) for k in BASELINES], "algorithm string, k int, groups long, silhouette double")
+    return found.unionByName(baselines.withColumn("silhouette", F.round("silhouette", 6)), allowMissingColumns=True)
 
 
 @job("stability")
 def stability(d: Domain) -> DataFrame:
     """Agreement of each family's partition with refits on 80 % subsamples."""
     rows, encoded = prepared(d)
-    parts = []
-    for algorithm in fixed.ALGORITHMS:
-        settled = []
-
-        def partition(part: DataFrame, algorithm=algorithm, settled=settled) -> DataFrame:
-            fit = clustering.fit(algorithm, part, "ocid", 4, encoded, **options().get(algorithm, {}))
-            if fit is None:  # no usable radius: all noise
-                return part.withColumn("cluster", F.lit(-1).cast("long"))
-            settled.append(fit.converged)
-            return fit.apply(part)
-
-        scores = cut_lineage(clustering.stability(rows, "ocid", partition(rows), partition))
-        unsettled = F.lit(sum(s is False for s in settled)).alias("not_converged")
-        parts.append(scores.select(F.lit(algorithm).alias("algorithm"), "*", unsettled))
-    return reduce(DataFrame.unionByName, parts)
+    return clustering.stability(rows, "ocid", encoded, fixed.ALGORITHMS, 4, options())
 
 
 @job("assign_new_rows")
