@@ -16,14 +16,14 @@ Equal sets are one set from the start. Within a list every set is held against t
 set, which takes as many comparisons as the list is long; sets that are connected by then need
 no further comparison. Only lists that still hold several components are compared across
 components, and there the metric of Jaccard rules out pairs by their distances from the
-first set. All comparisons are exact, over whole sets. No list is cut.
+first set, and counts by remainder, carried with the members, those that can't share enough. All comparisons are exact, over whole sets. No list is cut.
 
 Links that the search for components didn't need are counted afterwards: linked sets are in one
 component, so each component's sets are held against each other, in parts of bounded size, and
 only the counts per set leave a part.
 
 Frequencies that lists are ordered by come from one shingle in `sampled`, over all documents. Where
-lists come out longer than LONG_LIST, all shingles of their sets are counted, the frequent ones
+lists come out longer than LONG_LIST, the first shingles of their sets are counted, frequent ones
 are moved to the end of the order, and every set that listed one of them is listed anew: a common
 passage of which no shingle had been counted heads no list afterwards. Any order is exact.
 
@@ -58,14 +58,15 @@ KNOWN = 1 << 21
 LARGEST_SMALL = 48
 #: Parts in which the sizes of sets are held against each other before the sets are.
 BUCKETS = 256
+DIGEST = 64
 #: What a listed shingle costs, its list's comparisons included, where a subset's key costs 1.
 COMPARED = 16
 #: Sets and shingles of a part of a component, about, and shingles held against each other at a time.
 PART_SETS, PART_SHINGLES, COLUMNS = 512, 1 << 19, 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 1 << 16
-#: Sets in a list beyond which all shingles of its sets are counted.
-LONG_LIST = 32
+#: Sets in a list beyond which the shingles of its sets are counted: so many times as many as a set lists.
+LONG_LIST, CHOICE = 32, 4
 
 
 def needed(s: int, t: int, percent: int) -> int:
@@ -184,17 +185,30 @@ def _frequencies(every: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     return _levels(every.select(F.explode("some").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
 
 
-def _later(order: tuple, more: tuple) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The order with further keys; those it has stay where they are."""
-    new = ~np.isin(more[0], order[0])
-    keys = np.concatenate([order[0], more[0][new]])
-    at = np.argsort(keys)
-    return keys[at], np.concatenate([order[1], more[1][new]])[at], order[2]
+def _rank(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, unknown: int) -> np.ndarray:
+    """Places in the order by sorted keys and the logarithms of their counts."""
+    if not len(keys):
+        return np.full(len(s), unknown, np.uint8)
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    return np.where(keys[at] == s, logs[at] + 1, unknown).astype(np.uint8)
 
 
-def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, known: bool, most: int, percent: int) -> np.ndarray:
+def places(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, percent: int, later: tuple | None = None) -> np.ndarray:
+    """Ranks of a set's shingles in the order of all: rare sampled ones, those not counted, frequent ones."""
+    counted = np.flatnonzero(s % np.uint64(sampled(percent)) == 0)
+    rank = np.ones(len(s), np.uint8)
+    rank[counted] = _rank(s[counted], keys, logs, 0)
+    if later is not None:
+        rest = np.flatnonzero(rank == 1)
+        rank[rest] = _rank(s[rest], *later, 1)
+    return rank
+
+
+def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, known: bool, most: int, percent: int, later: tuple | None = None) -> np.ndarray:
     """All keys of a set: hashes of subsets and of listed shingles.
 
+    keys and logs are of sampled shingles, later those of others that come after the uncounted.
+
     Where all sampled shingles of several documents are known, the others' lists would hold
     this set alone, so they are left out.
     """
@@ -206,11 +220,7 @@ def signature(s: np.ndarray, keys: np.ndarray, logs: np.ndarray, known: bool, mo
                 drop = np.array([s[list(c)].sum(dtype=np.uint64) for c in combinations(range(size), size - o)], np.uint64)
                 out.append(mix((whole - drop) ^ np.uint64(o * 2 + 1)))
     if size >= percent * (most + 1) / 100:
-        # Not counted: after the rare ones.
-        rank = np.where(s % np.uint64(sampled(percent)) == 0, 0, 1).astype(np.uint8)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-            rank = np.where(keys[at] == s, logs[at] + 1, rank)
+        rank = places(s, keys, logs, percent, later)
         # The set is sorted and the sort is stable: by rank, then by hash.
         first = np.argsort(rank, kind="stable")[: listed(size, percent)]
         out.append(s[first[rank[first] > 0] if known else first])
@@ -227,25 +237,31 @@ def _signatures(docs: DataFrame, order: tuple, n: int, percent: int, most: int)
     return _per_document(docs, "doc_id long, name binary, size int, keys array<long>", of, ["name", "size", "keys"], [pa.binary(), pa.int32(), pa.list_(pa.int64())])
 
 
-def _listed_anew(stored: DataFrame, order: tuple, percent: int, most: int) -> DataFrame:
+def _listed_anew(stored: DataFrame, order: tuple, later: tuple, percent: int, most: int) -> DataFrame:
     """node, size and keys of stored sets (node, shingles) in another order."""
-    shared = stored.sparkSession.sparkContext.broadcast(order)
+    shared = stored.sparkSession.sparkContext.broadcast((order, later))
 
     def work(batches):
         for batch in batches:
             sets = [np.frombuffer(b, np.uint64) for b in batch["shingles"].to_pylist()]
-            keys = [signature(s, *shared.value, most, percent).view(np.int64) for s in sets]
+            keys = [signature(s, *shared.value[0], most, percent, shared.value[1]).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
 
     return stored.select("node", "shingles").mapInArrow(work, "node long, size int, keys array<long>")
 
 
-def _counted(stored: DataFrame) -> DataFrame:
-    """key and n of all shingles of stored sets that are in more than LONG_LIST of them."""
+def _counted(stored: DataFrame, order: tuple, percent: int) -> DataFrame:
+    """key and n of the shingles that more than LONG_LIST of the stored sets have among their first ones.
+
+    A set's first ones are CHOICE times as many as it lists, so that it can list others instead.
+    """
+    shared = stored.sparkSession.sparkContext.broadcast(order[:2])
 
     def work(batches):
         for batch in batches:
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(b, np.uint64) for b in batch["shingles"].to_pylist()]), return_counts=True)
+            sets = [np.frombuffer(b, np.uint64) for b in batch["shingles"].to_pylist()]
+            some = [s[np.argsort(places(s, *shared.value, percent), kind="stable")[: CHOICE * listed(len(s), percent)]] for s in sets]
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *some]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     every = stored.select("shingles").mapInArrow(work, "key long, n long")
@@ -257,6 +273,12 @@ def buckets(s: np.ndarray) -> bytes:
     return np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
 
 
+def digest(s: np.ndarray) -> np.ndarray | None:
+    """As buckets, of DIGEST remainders, to be carried with list members; None where a count is too large."""
+    n = np.bincount((s % np.uint64(DIGEST)).astype(np.int64), minlength=DIGEST)
+    return n.astype(np.int16) if n.max() < 1 << 15 else None
+
+
 def _promising(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) that can link by their buckets: what sets share they share bucket by bucket."""
 
@@ -374,13 +396,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, counted: bool = True) -
 
     def whole(text):
         s = shingles(text, n)
-        return name_of(s), s.tobytes(), buckets(s)
+        return name_of(s), s.tobytes(), buckets(s), digest(s)
 
     def stored_sets(nodes: DataFrame) -> DataFrame:
-        ids = broadcast_if_few(cut_lineage(first.join(nodes, "node").select(F.col("first").alias("id")).distinct()))
-        raw = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        kept = _per_document(raw, "doc_id long, name binary, shingles binary, buckets binary", whole, ["name", "shingles", "buckets"], [pa.binary()] * 3)
-        kept = of_first(kept).join(nodes, "node", "left_semi")
+        ids = broadcast_if_few(cut_lineage(first.join(nodes, "node").select(F.col("first").alias("id"), "node", F.col("name").alias("wanted"))))
+        raw = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.struct("node", "wanted").alias("doc_id"), "text")
+        kinds = [pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int16())]
+        kept = _per_document(raw, "doc_id struct<node:long,wanted:binary>, name binary, shingles binary, buckets binary, digest array<short>", whole, ["name", "shingles", "buckets", "digest"], kinds)
+        # A row with the same id and another text is none of these.
+        kept = kept.filter(F.col("name") == F.col("doc_id.wanted")).select("doc_id.node", "shingles", "buckets", "digest")
         # Only a row that is in the table twice is here twice.
         return cut_lineage(kept if once else kept.dropDuplicates(["node"]))
 
@@ -395,14 +419,13 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, counted: bool = True) -
     long = lists.filter(F.col("n") > LONG_LIST).select("key")
     crowded = cut_lineage(rows.join(long, "key").select("node").distinct())
     if not crowded.isEmpty():
-        moved = cut_lineage(_counted(stored.join(broadcast_if_few(crowded), "node", "left_semi")))
+        moved = cut_lineage(_counted(stored.join(broadcast_if_few(crowded), "node", "left_semi"), order, percent))
         more = _levels(moved)
         # At most KNOWN keys of 8 bytes.
         keys = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"key": more[0].view(np.int64)})))
         changed = cut_lineage(rows.join(keys, "key").select("node").distinct())
         stored = with_missing(stored, changed)
-        order = _later(order, more)
-        anew = _listed_anew(stored.join(broadcast_if_few(changed), "node", "left_semi"), order, percent, most).select("node", "size", F.explode("keys").alias("key"))
+        anew = _listed_anew(stored.join(broadcast_if_few(changed), "node", "left_semi"), order, more[:2], percent, most).select("node", "size", F.explode("keys").alias("key"))
         rows = cut_lineage(rows.join(broadcast_if_few(changed), "node", "left_anti").union(anew))
         lists = cut_lineage(_members(rows))
     members = cut_lineage(rows.join(lists.select("key", "pivot"), "key").select("key", "node", "size", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
@@ -422,10 +445,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, counted: bool = True) -
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     far = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("overlap") / (F.col("size") + F.col("pivot_size") - F.col("overlap"))).alias("far"))
     rest = known.join(mixed, "key").join(far, ["node", "pivot"], "left").withColumn("far", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("far")))
-    rest = cut_lineage(rest.select("key", "node", "size", "component", "far"))
+    several = cut_lineage(rest.select("node").distinct())
+    digests = cut_lineage(stored.join(broadcast_if_few(several), "node", "left_semi").select("node", "digest"))
+    rest = cut_lineage(rest.join(digests, "node").select("key", "node", "size", "component", "far", "digest"))
     x, y = rest.alias("x"), rest.alias("y")
     bound = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    apart = (F.col("x.component") < F.col("y.component")) & fits(F.col("x.size"), F.col("y.size")) & bound
+    # What sets share they share remainder by remainder.
+    shared = F.aggregate(F.zip_with("x.digest", "y.digest", lambda m, n: F.least(m, n).cast("int")), F.lit(0), lambda total, n: total + n)
+    likely = F.coalesce(similar(shared, F.col("x.size"), F.col("y.size")), F.lit(True))
+    apart = (F.col("x.component") < F.col("y.component")) & fits(F.col("x.size"), F.col("y.size")) & bound & likely
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("s"), F.col("y.size").alias("t")).distinct()
     cross = cut_lineage(cross)
