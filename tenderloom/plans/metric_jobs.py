@@ -171,3 +171,22 @@ def eps_candidates(d: Domain) -> DataFrame:
     sample = sampling.fixed_size(d.framed(), "ocid", 1000, hashed=hash32(F.col("ocid")))
     knn = neighbours.knn_distance(neighbours.sample_pairs(sample, "ocid", **d.frame_options()))
     return rounded(neighbours.eps_candidates(knn), [], ["p5", "p10", "p15", "p20"])
+
+
+_TENTH = f"""(SELECT a.ocid, {PAIR_DISTANCE} AS d, row_number() OVER (PARTITION BY a.ocid ORDER BY {PAIR_DISTANCE}, b.ocid) AS r
+     FROM d_axes a JOIN d_axes b ON a.ocid <> b.ocid"""
+
+
+@job("knn_distance_all", sql(f"SELECT ocid AS id, round(d, 6) AS distance FROM {_TENTH} WHERE a.ocid % 50 = 0) WHERE r = 10"))
+def knn_distance_all(d: Domain) -> DataFrame:
+    """Tenth-neighbour distance over all open tenders, of every fiftieth id."""
+    knn = neighbours.kth_distance(d.framed(), "ocid", 10, **d.frame_options())
+    return rounded(knn.filter("id % 50 = 0"), ["id"], ["distance"])
+
+
+@job("eps_candidates_all", sql(f"""SELECT round(quantile_cont(d, 0.05), 6) AS p5, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.15), 6) AS p15,
+     round(quantile_cont(d, 0.2), 6) AS p20 FROM {_TENTH}) WHERE r = 10"""))
+def eps_candidates_all(d: Domain) -> DataFrame:
+    """Radii for the density family, from all open tenders."""
+    knn = neighbours.kth_distance(d.framed(), "ocid", 10, **d.frame_options())
+    return rounded(neighbours.eps_candidates(knn), [], ["p5", "p10", "p15", "p20"])
