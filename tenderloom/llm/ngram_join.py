@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tenderloom.llm.bpe import Memo
-from tenderloom.llm.common import broadcast_if_few, text_or_empty
+from tenderloom.llm.common import FEW, broadcast_if_few, text_or_empty
 from tenderloom.llm.components import components
 from tenderloom.session import cut_lineage
 
@@ -279,6 +279,19 @@ def digest(s: np.ndarray) -> np.ndarray | None:
     return n.astype(np.int16) if n.max() < 1 << 15 else None
 
 
+def _sides(pairs: DataFrame, stored: DataFrame, column: str) -> list[DataFrame]:
+    """(a, left) and (b, right): a column of the stored sets that pairs (a, b) name on either side.
+
+    Where these are few, the other sets stay where they are.
+    """
+    sides = []
+    for node, as_name in (("a", "left"), ("b", "right")):
+        wanted = cut_lineage(pairs.select(F.col(node).alias("node")).distinct())
+        some = stored.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= FEW else stored
+        sides.append(some.select(F.col("node").alias(node), F.col(column).alias(as_name)))
+    return sides
+
+
 def _promising(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) that can link by their buckets: what sets share they share bucket by bucket."""
 
@@ -289,7 +302,7 @@ def _promising(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
             alive = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
             yield batch.select(["a", "b"]).filter(pa.array(alive))
 
-    left, right = (stored.select(F.col("node").alias(i), F.col("buckets").alias(s)) for i, s in (("a", "left"), ("b", "right")))
+    left, right = _sides(pairs, stored, "buckets")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, "a long, b long")
 
 
@@ -303,7 +316,7 @@ def _compare(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
             overlap = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True)) for x, y in both]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(overlap, pa.int32())], ["a", "b", "overlap"])
 
-    left, right = (stored.select(F.col("node").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "left"), ("b", "right")))
+    left, right = _sides(pairs, stored, "shingles")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, "a long, b long, overlap int")
 
 
