@@ -15,7 +15,7 @@ o(s, t) = ceil(PERCENT (s + t) / (100 + PERCENT)).
 Equal sets are one set from the start. Within a list every set is held against the list's first
 set, which takes as many comparisons as the list is long; sets that are connected by then need
 no further comparison. Only lists that still hold several components are compared across
-components, and there the metric of Jaccard rules out pairs by their distances from the
+components, one of those with the same members, and there the metric of Jaccard rules out pairs by their distances from the
 first set, and counts by remainder, carried with the members, those that can't share enough. All comparisons are exact, over whole sets. No list is cut.
 
 Links that the search for components didn't need are counted afterwards: linked sets are in one
@@ -455,7 +455,10 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, counted: bool = True) -
 
     # Lists that still hold several components.
     known = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    # Of lists with the same members one is enough: two 64-bit hashes of each, summed, tell them apart.
+    marks = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"mark{i}") for i in (0, 1)]
+    by_list = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), *marks)
+    mixed = by_list.filter("low < high").groupBy("n", "mark0", "mark1").agg(F.min("key").alias("key")).select("key")
     far = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("overlap") / (F.col("size") + F.col("pivot_size") - F.col("overlap"))).alias("far"))
     rest = known.join(mixed, "key").join(far, ["node", "pivot"], "left").withColumn("far", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("far")))
     several = cut_lineage(rest.select("node").distinct())
