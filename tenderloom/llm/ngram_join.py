@@ -466,9 +466,9 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, counted: bool = True) -
     rest = cut_lineage(rest.join(digests, "node").select("key", "node", "size", "component", "far", "digest"))
     x, y = rest.alias("x"), rest.alias("y")
     bound = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    # What sets share they share remainder by remainder.
+    # What sets share they share remainder by remainder. Written so that the sum is computed once per pair.
     shared = F.aggregate(F.zip_with("x.digest", "y.digest", lambda m, n: F.least(m, n).cast("int")), F.lit(0), lambda total, n: total + n)
-    likely = F.coalesce(similar(shared, F.col("x.size"), F.col("y.size")), F.lit(True))
+    likely = F.coalesce((100 + percent) * shared >= percent * (F.col("x.size") + F.col("y.size")), F.lit(True))
     apart = (F.col("x.component") < F.col("y.component")) & fits(F.col("x.size"), F.col("y.size")) & bound & likely
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("s"), F.col("y.size").alias("t")).distinct()
