@@ -56,3 +56,27 @@ def test_prefixes_are_met_without_moving_the_tenders_codes(domain):
     mine = m.supplier_codes.filter(F.col("supplier_id").isNotNull())
     plan = matrix.code_depth(m.tender_codes, mine)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_what_is_grouped_by_process_is_not_moved(domain):
+    """Stored lines lie in buckets by process, with repeated parts and processes as lists."""
+    m = domain.market()
+    awards = m.buyer_codes.groupBy("ocid", "l_suppkey", "buyer_id").agg(F.collect_set("code"))
+    for df in (m.tender_terms, awards, domain.awards(("F", "P"), stored=True)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    past, stored = (domain.history(stored=s).lines for s in (False, True))
+    assert counted(past) == counted(stored) and past.count()
+
+
+def test_activity_of_awards_with_several_codes(spark, domain):
+    """An award that shares several codes with a tender counts once; copies of awards and tenders count each."""
+    m = domain.market()
+    tenders, awards = {}, {}
+    for r in m.tender_codes.collect():
+        tenders.setdefault((r.ocid, r.buyer_id), set()).add(r.code)
+    for r in m.buyer_codes.collect():
+        awards.setdefault((r.ocid, r.l_suppkey, r.buyer_id), set()).add(r.code)
+    assert any(len(c) > 1 for c in awards.values())
+    found = {t: sum(t[1] == a[2] and bool(codes & c) for a, c in awards.items()) for t, codes in tenders.items()}
+    want = sorted((t[0], n) for t, n in found.items() if n)
+    assert sorted(map(tuple, matrix.buyer_activity(m.tender_codes, m.buyer_codes).collect())) == want and want
