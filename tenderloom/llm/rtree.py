@@ -127,12 +127,14 @@ class Tree:
         up, down = np.maximum(q, 0), np.minimum(q, 0)
         above, below = (a.tolist() for a in (self.hi @ up + self.lo @ down, self.lo @ up + self.hi @ down))
         kept: list[list[tuple[int, int, int]]] = [[] for _ in windows]  # (-score, rank, place), best first
-        floors = [floor for *_, floor in windows]
+
+        # The least score that a window takes, and the least of these: one comparison leaves most rows and boxes out.
+        bars = [max(low, floor) for low, _, floor in windows]
+        lowest, highest = min(bars), max(high for _, high, _ in windows)
 
         def open_to(node: int) -> bool:
-            return any(above[node] >= max(low, floor) and below[node] <= high for (low, high, _), floor in zip(windows, floors))
+            return above[node] >= lowest and any(above[node] >= bar and below[node] <= high for (_, high, _), bar in zip(windows, bars))
 
-        highest = max(high for _, high, _ in windows)
         queue = [(-min(above[0], highest), 0)]
         while queue:
             node = heapq.heappop(queue)[1]
@@ -144,19 +146,24 @@ class Tree:
                     heapq.heappush(queue, (-min(above[c], highest), c))
             if child:
                 continue
-            fits = (self.labels[start:end] == label) == same
+            scores = self.x[start:end] @ q
+            at = np.flatnonzero((scores >= lowest) & (scores <= highest))
+            if not len(at):
+                continue
+            fits = (self.labels[start:end][at] == label) == same
             if same:
-                fits &= self.rows[start:end] != own
-            at = np.flatnonzero(fits)
-            scores = (self.x[start:end][at] @ q).astype(np.int64)
-            for w, (low, high, _) in enumerate(windows):
-                hit = np.flatnonzero((scores >= max(low, floors[w])) & (scores <= high))
+                fits &= self.rows[start:end][at] != own
+            at = at[fits]
+            scores = scores[at].astype(np.int64)
+            for w, (_, high, _) in enumerate(windows):
+                hit = np.flatnonzero((scores >= bars[w]) & (scores <= high))
                 if len(hit):
                     places = at[hit] + start
                     both = kept[w] + list(zip((-scores[hit]).tolist(), self.rank[places].tolist(), places.tolist()))
                     kept[w] = heapq.nsmallest(k, both)
-                    if len(kept[w]) == k:
-                        floors[w] = max(floors[w], -kept[w][-1][0])
+                    if len(kept[w]) == k and -kept[w][-1][0] > bars[w]:
+                        bars[w] = -kept[w][-1][0]
+                        lowest = min(bars)
         return [(w, p, -s) for w, best in enumerate(kept) for s, _, p in best]
 
 

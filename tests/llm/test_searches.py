@@ -188,3 +188,30 @@ def test_a_search_leaves_boxes_out():
     found = tree.search(np.array([1]), -1, 0, False, [(2000, 5000, -rtree.OPEN)], 3)
     assert [s for *_, s in found] == sorted((v for v in x[:, 0].tolist() if v <= 5000), reverse=True)[:3]
     assert len(Counted.seen) < len(tree.nodes) / 8
+
+
+def test_leaves_without_a_score_in_a_window_are_left_at_once():
+    draw = np.random.default_rng(4)
+    x = draw.integers(-200, 200, (4096, 16))
+    part = pa.table({"x": pa.array(x.tolist(), pa.list_(pa.int64())), "id": np.arange(4096), "label": np.arange(4096, dtype=np.int32) % 7, "row": np.arange(4096)})
+    tree = rtree.Tree(rtree.tile_row(0, part), 16, 200)
+
+    class Counted(np.ndarray):
+        looks = 0
+
+        def __getitem__(self, key):
+            Counted.looks += 1
+            return super().__getitem__(key)
+
+    labels, tree.labels = tree.labels, tree.labels.view(Counted)
+    q = draw.integers(-200, 200, 16)
+    scores = np.array([tree.x[p] @ q for p in range(4096)]).astype(int)
+    best = int(scores[labels != 3].max())
+    windows = [(best * a // 100, best * b // 100, -rtree.OPEN) for a, b in ((90, 95), (92, 97))]
+    found = tree.search(q, -1, 3, False, windows, 3)
+    for w, (low, high, _) in enumerate(windows):
+        fits = np.flatnonzero((labels != 3) & (scores >= low) & (scores <= high))
+        want = sorted(fits, key=lambda p: (-scores[p], tree.ids[p]))[:3]
+        assert [(p, s) for i, p, s in found if i == w] == [(p, scores[p]) for p in want]
+    in_use = (scores >= windows[0][0]) & (scores <= windows[1][1])
+    assert Counted.looks <= 2 * in_use.sum()
