@@ -47,6 +47,18 @@ def test_silhouette_equals_pairs(spark, parts):
     assert s.groups == 3 and abs(s.silhouette - np.mean(expected)) < 1e-12
 
 
+def test_silhouette_plans_one_pass_at_a_time(spark, monkeypatch):
+    df, _ = points(spark)
+    want = {r.id: tuple(r) for r in gower.silhouette_rows(df, [], "id", "cluster", [0, 1, 2], **OPTIONS).collect()}
+    monkeypatch.setattr(gower, "GROUPS_PER_PASS", 1)
+    found = gower.silhouette_rows(df, [], "id", "cluster", [0, 1, 2], **OPTIONS)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 3 and "Join" not in plan and "Window" not in plan
+    got = {r.id: tuple(r) for r in found.collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[i], want[i]) for i in want)
+
+
 def test_silhouette_special_cases(spark):
     df = spark.createDataFrame(
         [(1, 0.0, 0.0, "p", 0), (2, 0.1, 0.0, "p", 0), (3, 0.9, 0.0, "q", 1), (4, 0.5, 0.5, "q", -1)],
