@@ -54,7 +54,9 @@ def stage(f):
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose severity model doesn't call them toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.severities(held(docs), model).filter(~F.col("toxic")).select("doc.*")
+    # The text is read out of the row, not held beside it a second time.
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    return toxicity.severities(rows, model, "doc.text").filter(~F.col("toxic")).select("doc.*")
 
 
 @stage

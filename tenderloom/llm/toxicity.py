@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from math import fsum
 
@@ -41,7 +42,9 @@ GRADES = 4
 #: Lengths of the beginnings of longer words.
 BEGINNINGS = range(3, 10)
 STEPS, RATE, RIDGE = 1500, 0.1, 1e-5
-WORDS_KEPT = 1 << 18
+WORDS_KEPT = 1 << 16
+#: Features counted at once: a task's counts leave it when they reach as many, and are added up by Spark.
+COUNTED = 1 << 15
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -99,17 +102,27 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
     return cut_lineage(texts.select("is_toxic", "text")), totals
 
 
+def _counts(rows: Iterable[tuple[int, str]], most: int = COUNTED) -> Iterator[dict[str, list]]:
+    """How many texts of either label have each feature, in parts of little more than `most` features."""
+    seen = Counter(), Counter()
+
+    def part():
+        every = list(seen[1] | seen[0])
+        return {"feature": every, "toxic": [seen[1][f] for f in every], "clean": [seen[0][f] for f in every]}
+
+    for k, t in rows:
+        seen[k].update({f for w in set(LETTERS.findall(t.lower())) for f in features(w)})
+        if len(seen[0]) + len(seen[1]) >= most:
+            yield part()
+            seen = Counter(), Counter()
+    yield part()
+
+
 def _select(sample: DataFrame, sizes: list[int]) -> list[str]:
     def count(batches):
-        for batch in batches:
-            seen = Counter(), Counter()
-            for k, t in zip(batch["is_toxic"].to_pylist(), batch["text"].to_pylist()):
-                seen[k].update({f for w in set(LETTERS.findall(t.lower())) for f in features(w)})
-            every = list(seen[1] | seen[0])
-            yield pa.RecordBatch.from_pydict(
-                {"feature": every, "toxic": [seen[1][f] for f in every], "clean": [seen[0][f] for f in every]},
-                pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]),
-            )
+        rows = ((k.as_py(), t.as_py()) for batch in batches for k, t in zip(batch["is_toxic"], batch["text"]))
+        for part in _counts(rows):
+            yield pa.RecordBatch.from_pydict(part, pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]))
 
     found = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     toxic, clean = F.col("toxic"), F.col("clean")
@@ -128,9 +141,9 @@ def _rows(sample: DataFrame, chosen: list[str]) -> list[tuple[int, list[int], in
     def look(batches):
         for batch in batches:
             out = []
-            for k, t in zip(batch["is_toxic"].to_pylist(), batch["text"].to_pylist()):
-                marks = [[number[f] for f in features(w) if f in number] for w in set(LETTERS.findall(t.lower()))]
-                out.append({"is_toxic": k, "at": sorted(i for m in marks for i in m), "marked": sum(map(bool, marks))})
+            for k, t in zip(batch["is_toxic"], batch["text"]):
+                marks = [[number[f] for f in features(w) if f in number] for w in set(LETTERS.findall(t.as_py().lower()))]
+                out.append({"is_toxic": k.as_py(), "at": sorted(i for m in marks for i in m), "marked": sum(map(bool, marks))})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("is_toxic", pa.int32()), ("at", pa.list_(pa.int32())), ("marked", pa.int32())]))
 
     return [(r.is_toxic, list(r["at"]), r.marked) for r in sample.mapInArrow(look, "is_toxic int, at array<int>, marked int").collect()]

@@ -70,3 +70,17 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert op7_toxicity(spark, str(tmp_path)).count() == 0
+
+
+def test_counts_leave_a_task_in_parts():
+    rows = [(i % 2, " ".join(f"{'abcdefghij'[(i + k) % 10] * 4}{'xyz'[k % 3] * (i % 7)}" for k in range(20))) for i in range(300)]
+    whole = list(toxicity._counts(iter(rows), 1 << 30))
+    parts = list(toxicity._counts(iter(rows), 100))
+    largest = max(len({f for w in t.split() for f in toxicity.features(w)}) for _, t in rows)
+    assert len(whole) == 1 and len(parts) > 2 and max(len(p["feature"]) for p in parts) <= 100 + largest
+    added = {}
+    for p in parts:
+        for f, toxic, clean in zip(p["feature"], p["toxic"], p["clean"]):
+            old = added.get(f, (0, 0))
+            added[f] = old[0] + toxic, old[1] + clean
+    assert added == {f: (a, b) for f, a, b in zip(*whole[0].values())}
