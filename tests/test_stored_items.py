@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.operators import matrix
+from tenderloom.plans import domain as domain_module
 from tenderloom.plans.domain import Domain
 
 
@@ -80,3 +81,13 @@ def test_activity_of_awards_with_several_codes(spark, domain):
     found = {t: sum(t[1] == a[2] and bool(codes & c) for a, c in awards.items()) for t, codes in tenders.items()}
     want = sorted((t[0], n) for t, n in found.items() if n)
     assert sorted(map(tuple, matrix.buyer_activity(m.tender_codes, m.buyer_codes).collect())) == want and want
+
+
+def test_parts_are_not_broadcast_to_the_lines(domain, monkeypatch):
+    """A small file of parts can be large in memory: the driver never holds them all."""
+    written = []
+    monkeypatch.setattr(domain_module, "cut_lineage", lambda df, by=None: written.append(df) or df)
+    domain.stored_lines()
+    plan = written[-1]._jdf.queryExecution().executedPlan().toString()
+    parts = [line for line in plan.split("\n") if "Join [l_partkey" in line]
+    assert parts and all("SortMergeJoin" in line for line in parts)
