@@ -63,3 +63,31 @@ def test_fits_say_whether_they_settled(spark):
     assert not clustering.kprototypes(df, "id", 3, ["u_a", "u_b"], "cat", restarts=1, max_iter=1).converged
     assert not clustering.kmedoids(df, "id", 3, max_iter=1, **options).converged
     assert clustering.kmedoids(df, "id", 3, max_iter=100, **options).converged
+
+
+def test_broken_family_is_no_row(spark, monkeypatch):
+    """A family whose fit breaks down doesn't pass for a candidate without a partition."""
+
+    def broken(*args, **options):
+        raise ValueError("broken")
+
+    monkeypatch.setattr(clustering, "fit_many", broken)
+    monkeypatch.setattr(clustering, "density", lambda *args, **options: None)
+    fits, failures, errors = clustering.sweep(None, "ocid", [], ["kmeans", "density"], [3])
+    assert not fits and [f[0] for f in failures] == ["density"] and [(a, str(e)) for a, e in errors] == [("kmeans", "broken")]
+    frame = spark.createDataFrame([(1, "p", 1.0)], "ocid long, modality string, log_budget double")
+    monkeypatch.setattr(model_jobs, "prepared", lambda d: (frame, ["log_budget"]))
+    with pytest.raises(RuntimeError, match="kmeans: ValueError: broken"):
+        model_jobs.model_comparison(Domain(spark, "/root/testdata/sf0.001"))
+
+
+def test_reasons_say_why_there_is_no_partition(spark, monkeypatch):
+    rows = [(i, "pq"[i % 2], float(i), 1.0, 1.0, float(i % 3)) for i in range(12)]
+    frame = spark.createDataFrame(rows, "ocid long, modality string, log_budget double, km double, n_items double, acctbal double")
+    frame = frame.withColumns({f"{p}_{c}": F.col(c) / 12 for p in "zu" for c in model_jobs.FRAME})
+    monkeypatch.setattr(model_jobs, "prepared", lambda d: (frame, model_jobs.Z))
+    found = [("density", None, "no usable configuration"), ("gmm", 9, "fewer different rows than groups")]
+    monkeypatch.setattr(clustering, "sweep", lambda *args, **options: ({}, found, []))
+    made = model_jobs.model_comparison(Domain(spark, "/root/testdata/sf0.001")).filter("algorithm <> 'random'").collect()
+    said = {(r.algorithm, r.k): (r.disqualified, r.reasons) for r in made}
+    assert said == {("density", None): (True, "no partition: no usable configuration"), ("gmm", 9): (True, "no partition: fewer different rows than groups")}
