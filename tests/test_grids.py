@@ -72,7 +72,7 @@ def test_broken_family_is_no_row(spark, monkeypatch):
         raise ValueError("broken")
 
     monkeypatch.setattr(clustering, "fit_many", broken)
-    monkeypatch.setattr(clustering, "density", lambda *args, **options: None)
+    monkeypatch.setattr(clustering, "density_together", lambda *args, **options: None)
     fits, failures, errors = clustering.sweep(None, "ocid", [], ["kmeans", "density"], [3])
     assert not fits and [f[0] for f in failures] == ["density"] and [(a, str(e)) for a, e in errors] == [("kmeans", "broken")]
     frame = spark.createDataFrame([(1, "p", 1.0)], "ocid long, modality string, log_budget double")
